@@ -65,3 +65,15 @@ SELECT d.doc_id, coalesce(size.n, 0)::BIGINT AS n_shingles,
        least(d.doc_id, coalesce((SELECT min(b) FROM reach WHERE reach.a = d.doc_id), d.doc_id))::BIGINT AS component_id
 FROM d LEFT JOIN size USING (doc_id)
 """
+
+SQL["op1_warc"] = r"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS t FROM pages),
+h AS (SELECT page_id, octet_length(encode(t)) AS payload_bytes, sha1(t) AS x, min(page_id) OVER (PARTITION BY t) AS first FROM p)
+SELECT page_id, payload_bytes::BIGINT AS payload_bytes,
+  list_aggregate(list_transform(range(0, 32), lambda k:
+    substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+      1 + ((('0x' || substr(x || '00', 1 + (k * 5 // 4), 4))::BIGINT >> (11 - (k * 5) % 4)) & 31)::INT, 1)), 'string_agg', '') AS payload_digest,
+  CASE WHEN first = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN first <> page_id THEN first END AS refers_to
+FROM h
+"""
