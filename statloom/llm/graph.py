@@ -12,11 +12,38 @@ from pyspark.sql import functions as F
 from .common import skew_lookup, written
 
 
+#: A graph of no more links than this is finished by one task of bounded size.
+FEW_LINKS = 500_000
+
+
+def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """node, label of the components of few links: labels spread along sorted links until none changes."""
+    parts = [(b.column("a").to_numpy(), b.column("b").to_numpy()) for b in batches if b.num_rows]
+    if not parts:
+        return
+    a, b = (np.concatenate(x) for x in zip(*parts, strict=True))
+    nodes, flat = np.unique(np.concatenate((a, b)), return_inverse=True)
+    a, b = flat[: len(a)], flat[len(a) :]
+    label = np.arange(len(nodes))
+    while True:
+        low = np.minimum(label[a], label[b])
+        new = label.copy()
+        np.minimum.at(new, label[a], low)
+        np.minimum.at(new, label[b], low)
+        np.minimum.at(new, a, low)
+        np.minimum.at(new, b, low)
+        new = new[new]
+        if (new == label).all():
+            break
+        label = new
+    yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(nodes[label])], names=["u", "p"])
+
+
 def components(edges: DataFrame, tag: str = "cc") -> DataFrame:
     """node, label for every node of edges (a, b): label is one node of the component, the same for all of it.
 
     Every round each node hooks to its smallest neighbour and the graph is contracted; the edges left are written to
-    the shared folder. Node numbers should be hashes: then a constant share of the nodes vanishes each round, however
+    the shared folder; once FEW_LINKS are left one task finishes them. Node numbers should be hashes: then a constant share of the nodes vanishes each round, however
     the graph is shaped. A node with very many links is looked up by broadcast, never gathered in one task.
     """
     spark = edges.sparkSession
@@ -24,7 +51,12 @@ def components(edges: DataFrame, tag: str = "cc") -> DataFrame:
     hooks: list[DataFrame] = []
     while True:
         left = written(left.distinct(), spark, tag)
-        if left.isEmpty():
+        n = left.count()
+        if not n:
+            break
+        if n <= FEW_LINKS:
+            hook = left.repartition(1).mapInArrow(_finish, "u long, p long")
+            hooks.append(written(hook, spark, tag) if hooks else hook)
             break
         both = left.union(left.select("b", "a")).toDF("u", "v")
         hook = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("p"), F.count("*").alias("deg"))

@@ -3,11 +3,12 @@
 A text's set is that of its distinct k-word shingles (64-bit hashes). Two sets with Jaccard similarity of
 ``num``/``den`` or more differ in at most D = (a + b) (den - num) / (den + num) shingles. Sets are dealt into size
 bands; in a band every shingle flips one bit of a sketch that is cut into P parts, P greater than the band's D: each
-differing shingle changes one part at most, so similar sets agree in at least P - D = E + 1 parts (pigeonhole). A
+differing shingle changes one part at most, so similar sets agree in at least P - D parts (pigeonhole). A
 part is compared by the XOR of its shingles' hashes, and equal parts meet in one shuffle.
 
-* Empty parts are the same in all sets; they are no keys unless a set has more than E of them.
-* A pair must agree in at least E + 1 - (empty and hot parts of the first) parts to stay a candidate.
+* Empty parts are the same in all sets and therefore no keys. A set's slack is the number of parts it must share
+  with any partner, less its empty parts, less one; only a set whose slack is negative makes its empty parts keys.
+* A pair must share at least slack + 1 - (hot parts of the first) keys to stay a candidate.
 * A part shared by more than ``GROUP`` sets is hot. Instead of all pairs it gives one link per member to its first
   member, and only for sets that have so many hot parts that their cold ones could not find all partners.
 
@@ -56,8 +57,7 @@ class Bands:
         self.low = np.array(low, np.int64)
         top = self.low[1:] - 1
         self.apart = 2 * top * (den - num) // (den + num)
-        self.slack = 3 + self.apart // 10
-        self.parts = self.apart + 1 + self.slack
+        self.parts = self.apart + 4 + self.apart // 10
 
     def of(self, size: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """(which sets, their band): the own band, and each higher one that holds a size similar enough."""
@@ -102,7 +102,7 @@ def part_keys(sets: np.ndarray, begin: np.ndarray, bands: Bands) -> tuple[np.nda
     slack = np.full(len(size), np.iinfo(np.int32).max, np.int64)
     keys, owner = [np.zeros(0, _U)], [np.zeros(0, np.int64)]
     for which, band in bands.of(size):
-        p, spare = bands.parts[band], bands.slack[band]
+        p = bands.parts[band]
         n = size[which]
         at = np.repeat(begin[which], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
         h = sets[at]
@@ -116,13 +116,15 @@ def part_keys(sets: np.ndarray, begin: np.ndarray, bands: Bands) -> tuple[np.nda
         keys.append(K.mix(value ^ K.mix(seed)))
         owner.append(which[of[cut]])
         empty = p - np.bincount(of[cut], minlength=len(which))
-        for i in np.flatnonzero(empty > spare).tolist():
+        partner = np.minimum(bands.low[band + 1] - 1, bands.den * n // bands.num)
+        spare = p - (n + partner) * (bands.den - bands.num) // (bands.den + bands.num) - 1 - empty
+        for i in np.flatnonzero(spare < 0).tolist():
             some = np.zeros(int(p[i]), bool)
             some[part[cut[of[cut] == i]].astype(np.int64)] = True
             gaps = np.flatnonzero(~some).astype(_U)
             keys.append(K.mix(K.mix((_U(band[i]) << _U(48)) + gaps)))
             owner.append(np.full(len(gaps), which[i]))
-        slack[which] = np.minimum(slack[which], np.maximum(spare - empty, 0))  # with its empty parts as keys a set still may meet one without
+        slack[which] = np.minimum(slack[which], np.maximum(spare, 0))
     return np.concatenate(keys), np.concatenate(owner), slack
 
 
