@@ -1,5 +1,7 @@
 """DuckDB SQL for the queries that SQL can express."""
 
+from .license_scan import TEMPLATES, THRESHOLD
+
 SQL: dict[str, str] = {}
 
 SQL["op4_line_dedup"] = r"""
@@ -77,3 +79,25 @@ SELECT page_id, payload_bytes::BIGINT AS payload_bytes,
   CASE WHEN first <> page_id THEN first END AS refers_to
 FROM h
 """
+
+_NOTICES = ", ".join(f"({k}, '{n}', '" + t.replace("'", "''") + "')" for k, (n, t) in enumerate(TEMPLATES))
+
+SQL["op2_license_scan"] = rf"""
+WITH notice(k, license, t) AS (VALUES {_NOTICES}),
+unit AS (
+  SELECT doc_id, 1 AS is_line, u AS line, string_split(coalesce(text, ''), chr(10))[u] AS t
+  FROM (SELECT *, unnest(range(1, len(string_split(coalesce(text, ''), chr(10))) + 1)) AS u FROM documents)
+  UNION ALL SELECT doc_id, 0, 0, coalesce(text, '') FROM documents),
+nw AS (SELECT k, license, list_filter(string_split_regex(lower(t), '[^a-z0-9]+'), lambda x: x <> '') AS w FROM notice),
+ng AS (SELECT k, license, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS g FROM nw),
+uw AS (SELECT doc_id, is_line, line, list_filter(string_split_regex(lower(t), '[^a-z0-9]+'), lambda x: x <> '') AS w FROM unit),
+ug AS (SELECT doc_id, is_line, line, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS g FROM uw),
+pairs AS (
+  SELECT doc_id, is_line, line, k, license, 2.0::DOUBLE * len(list_intersect(ug.g, ng.g)) / (len(ug.g) + len(ng.g)) AS dice
+  FROM ug, ng WHERE len(ug.g) * {THRESHOLD}::DOUBLE / (2 - {THRESHOLD}::DOUBLE) <= len(ng.g) AND len(ng.g) * {THRESHOLD}::DOUBLE / (2 - {THRESHOLD}::DOUBLE) <= len(ug.g)),
+hit AS (SELECT * FROM pairs WHERE dice >= {THRESHOLD}),
+best AS (SELECT doc_id, license, dice, row_number() OVER (PARTITION BY doc_id ORDER BY dice DESC, k) AS r FROM hit),
+lines AS (SELECT doc_id, count(DISTINCT line) AS n FROM hit WHERE is_line = 1 GROUP BY doc_id)
+SELECT d.doc_id, best.license, coalesce(best.dice, 0.0)::DOUBLE AS dice, coalesce(lines.n, 0)::BIGINT AS n_lines_matching
+FROM documents d LEFT JOIN best ON best.doc_id = d.doc_id AND best.r = 1 LEFT JOIN lines ON lines.doc_id = d.doc_id
+"""

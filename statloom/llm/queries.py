@@ -7,7 +7,7 @@ import sys
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, jaccard, linededup, quality, toxicity, warc
+from . import bpe, decontam, jaccard, license_scan, linededup, quality, toxicity, warc
 from .common import table
 
 DEFAULT_VOCABULARY = "byte_bpe_50k.json"
@@ -25,6 +25,11 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_records(folder, index).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = license_scan.scan(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "license", "dice", F.size("matches").cast("long").alias("n_lines_matching"))
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = linededup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
