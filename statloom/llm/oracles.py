@@ -101,3 +101,19 @@ lines AS (SELECT doc_id, count(DISTINCT line) AS n FROM hit WHERE is_line = 1 GR
 SELECT d.doc_id, best.license, coalesce(best.dice, 0.0)::DOUBLE AS dice, coalesce(lines.n, 0)::BIGINT AS n_lines_matching
 FROM documents d LEFT JOIN best ON best.doc_id = d.doc_id AND best.r = 1 LEFT JOIN lines ON lines.doc_id = d.doc_id
 """
+
+SQL["op3_substring_dedup"] = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+win AS (
+  SELECT doc_id, k, array_to_string(w[k:k + 49], ' ') AS t
+  FROM (SELECT *, unnest(range(1, len(w) - 48)) AS k FROM d WHERE len(w) >= 50)),
+owner AS (SELECT t, min(doc_id) AS o FROM win GROUP BY t HAVING count(DISTINCT doc_id) > 1),
+bad AS (SELECT DISTINCT win.doc_id, win.k FROM win JOIN owner ON win.t = owner.t WHERE owner.o < win.doc_id),
+gone AS (SELECT DISTINCT doc_id, unnest(range(k, k + 50)) AS p FROM bad),
+word AS (SELECT doc_id, unnest(w) AS x, generate_subscripts(w, 1) AS p FROM d),
+kept AS (
+  SELECT word.doc_id, count(gone.p) AS n_removed, string_agg(word.x, ' ' ORDER BY word.p) FILTER (WHERE gone.p IS NULL) AS t
+  FROM word LEFT JOIN gone ON gone.doc_id = word.doc_id AND gone.p = word.p GROUP BY word.doc_id)
+SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(kept.n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(kept.t, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id)
+"""

@@ -7,7 +7,7 @@ import sys
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, jaccard, license_scan, linededup, maskedlm, quality, toxicity, warc
+from . import bpe, decontam, jaccard, license_scan, linededup, maskedlm, quality, substring, toxicity, warc
 from .common import table
 
 DEFAULT_VOCABULARY = "byte_bpe_50k.json"
@@ -30,6 +30,11 @@ def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "license", "dice", F.size("matches").cast("long").alias("n_lines_matching"))
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substring.dedup_substrings(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = linededup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
