@@ -351,7 +351,8 @@ def join(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", k: int
     member = written(member, spark, "jaccard-members")
 
     wanted = member.select(F.col("first").alias("doc_id"), "cls", "block", "c", "own")
-    loaded = texts.join(wanted.hint("merge"), "doc_id")  # wanted grows with the corpus: never broadcast.mapInArrow(_load(k), "cls long, block long, c int, own int, shingles binary")
+    # wanted grows with the corpus: never broadcast
+    loaded = texts.join(wanted.hint("merge"), "doc_id").mapInArrow(_load(k), "cls long, block long, c int, own int, shingles binary")
     other = F.explode(F.sequence(F.lit(0), F.col("c") - 1))
     tasks = loaded.withColumn("o", other).select("block", F.least("own", "o").alias("i"), F.greatest("own", "o").alias("j"), "cls", "shingles")
     links = tasks.repartition("block", "i", "j").sortWithinPartitions("block", "i", "j").mapInArrow(_verify(num, den), "a long, b long")
