@@ -57,7 +57,7 @@ def _clean(spark: SparkSession) -> None:
 def written(df: DataFrame, spark: SparkSession, tag: str) -> DataFrame:
     """df written as Parquet in the shared folder and read back: lineage ends there."""
     path = work_dir(spark, tag)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -6,10 +6,10 @@ repeats if its word sequence also starts in a text with a smaller id; every word
 * Suffixes are grouped by a prefix taken where the text itself marks it: of each window the smallest hash of its
   ``k``-grams. Equal windows have equal marks, so the groups can be treated apart, and consecutive windows with
   one mark travel as one context. Groups that only one text holds cannot repeat and end there.
-* Groups of at most ``GROUP`` texts are taken together until they fill a task's batch. Their subtree is grown level by level: the nodes
+* Groups of at most ``GROUP`` contexts are taken together until they fill a task's batch. Their subtree is grown level by level: the nodes
   at depths 1, 2, 4, ... of all suffixes are numbered from pairs of shallower nodes, and branches that hold one text
   are cut. What is left at depth ``span`` are the deep internal nodes: the maximal repeats, with their first owner.
-* A group of more texts gets longer prefixes, up to ``span`` words, where a prefix is itself a deep node: its windows
+* A group of more contexts gets longer prefixes, up to ``span`` words, where a prefix is itself a deep node: its windows
   are pre-aggregated by hash to their first owner, and nodes that very many windows share are looked up by broadcast.
 
 Covered words are removed from the texts afterwards; all windows are judged on the input.
@@ -33,8 +33,8 @@ from . import kernel as K
 from .common import chunks, skew_lookup, written
 from .graph import sorted_groups
 
-#: Texts that may share a group's mark before the group gets longer prefixes.
-GROUP = 500
+#: Contexts of one mark that make a subtree in one task's memory (1.4 million suffixes); larger groups get longer prefixes.
+GROUP = 20_000
 #: Words that a task treats at once.
 BATCH_WORDS = 400_000
 _SECOND = 0xA0761D6478BD642F
@@ -56,22 +56,21 @@ def marks(data: np.ndarray, offs: np.ndarray, span: int, k: int):
 
 
 def _shared_marks(texts: DataFrame, span: int, k: int) -> DataFrame:
-    """mark, holders: marks that texts of two ids or more hold."""
+    """mark, contexts: marks that texts of two ids or more hold."""
     kind = dict(texts.dtypes)["doc_id"]
 
     def run(batches):
         for batch in batches:
             for part, data, offs in chunks(batch, "text"):
                 of, mark, _, _ = marks(data, offs, span, k)
-                once = np.unique(np.rec.fromarrays([of, mark], names="d,m"))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id").take(pa.array(once["d"])), pa.array(once["m"])], names=["doc_id", "mark"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id").take(pa.array(of)), pa.array(mark)], names=["doc_id", "mark"])
 
     held = texts.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, mark long")
-    return held.groupBy("mark").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count("*").alias("holders")).where("lo <> hi").select("mark", "holders")
+    return held.groupBy("mark").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count("*").alias("contexts")).where("lo <> hi").select("mark", "contexts")
 
 
 def _runs(texts: DataFrame, span: int, k: int) -> DataFrame:
-    """doc_id, digest, mark, a, b of all runs."""
+    """doc_id, digest, mark, at of all runs; at: first and last window in one number."""
     kind = dict(texts.dtypes)["doc_id"]
 
     def run(batches):
@@ -79,9 +78,9 @@ def _runs(texts: DataFrame, span: int, k: int) -> DataFrame:
             for part, data, offs in chunks(batch, "text"):
                 of, mark, a, b = marks(data, offs, span, k)
                 at = pa.array(of)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id").take(at), part.column("digest").take(at), pa.array(mark), pa.array(a, pa.int32()), pa.array(b, pa.int32())], names=["doc_id", "digest", "mark", "a", "b"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id").take(at), part.column("digest").take(at), pa.array(mark), pa.array(a << 32 | b)], names=["doc_id", "digest", "mark", "at"])
 
-    return texts.mapInArrow(run, f"doc_id {kind}, digest long, mark long, a int, b int")
+    return texts.mapInArrow(run, f"doc_id {kind}, digest long, mark long, at long")
 
 
 def _contexts(span: int):
@@ -97,8 +96,9 @@ def _contexts(span: int):
                     doc, digest = part.column("doc_id")[d].as_py(), part.column("digest")[d].as_py()
                     f = int(first[d])
                     for r in runs:
-                        words = data[starts[f + r["a"]] : ends[f + r["b"] + span - 1]].tobytes()
-                        rows.append((r["mark"], r["many"], doc, digest, r["a"], r["b"] - r["a"] + 1, words))
+                        a, b = r["at"] >> 32, r["at"] & 0xFFFFFFFF
+                        words = data[starts[f + a] : ends[f + b + span - 1]].tobytes()
+                        rows.append((r["mark"], r["many"], doc, digest, a, b - a + 1, words))
                         size += len(words)
                     if size > 1 << 21:
                         yield _rows(rows, part)
@@ -239,8 +239,8 @@ def repeated_spans(texts: DataFrame, span: int, k: int) -> DataFrame:
     spark = texts.sparkSession
     kind = dict(texts.dtypes)["doc_id"]
     shared = written(_shared_marks(texts, span, k), spark, "substring-marks")
-    runs = skew_lookup(_runs(texts, span, k), shared, "mark", ["holders"], "holders", ["doc_id", "a"]).where("holders is not null")
-    lists = runs.groupBy("doc_id", "digest").agg(F.collect_list(F.struct("mark", (F.col("holders") > GROUP).alias("many"), "a", "b")).alias("runs"))
+    runs = skew_lookup(_runs(texts, span, k), shared, "mark", ["contexts"], "contexts", ["doc_id", "at"]).where("contexts is not null")
+    lists = runs.groupBy("doc_id", "digest").agg(F.collect_list(F.struct("mark", (F.col("contexts") > GROUP).alias("many"), "at")).alias("runs"))
     contexts = texts.join(lists.hint("merge"), ["doc_id", "digest"]).mapInArrow(_contexts(span), f"mark long, many boolean, doc_id {kind}, digest long, a int, n int, words binary")
     contexts = written(contexts, spark, "substring-contexts")
 
@@ -255,7 +255,7 @@ def repeated_spans(texts: DataFrame, span: int, k: int) -> DataFrame:
     return few.unionByName(many).groupBy("doc_id", "digest").agg(F.collect_list(F.struct("s", "e")).alias("cut"))
 
 
-def dedup_substrings(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", span: int = 50, k: int = 10) -> DataFrame:
+def dedup_substrings(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", span: int = 50, k: int = 24) -> DataFrame:
     """docs with ``text`` as its kept words, plus n_words (before) and n_removed."""
     plain = docs.withColumns({text: F.col(text).cast("string")})
     texts = plain.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.xxhash64(text).alias("digest"))
