@@ -307,7 +307,8 @@ def encode(docs: DataFrame, vocabulary: str, *, doc_id: str = "doc_id", text: st
 
 def decode(encoded: DataFrame, vocabulary: str, *, keep: list[str] = ["doc_id"], ids: str = "ids") -> DataFrame:  # noqa: B006
     """The ``keep`` columns and ``text`` per row; null ids give a null text."""
-    schema = ", ".join(f"`{c}` {t}" for c, t in encoded.dtypes if c in keep)
+    types = dict(encoded.dtypes)
+    schema = ", ".join(f"`{c}` {types[c]}" for c in keep)
 
     def run(batches):
         bpe = load(vocabulary)

@@ -109,21 +109,26 @@ def _blocks(benchmark: DataFrame, item_id: str, text: str, limit: int) -> Iterat
         yield [(r["i"], r["t"]) for r in items.where(block == b).distinct().collect()]
 
 
-def find_hits(docs: DataFrame, benchmark: DataFrame, *, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", span: int = 10, k: int = 5, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """doc_id, n_words, n_hit, spans (of words, end excluded), items (ids of items that occur, sorted) per row of docs."""
+def find_hits(docs: DataFrame, benchmark: DataFrame, *, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", span: int = 10, k: int = 5, block_bytes: int = BLOCK_BYTES, keep: list[str] | None = None) -> DataFrame:
+    """doc_id, n_words, n_hit, spans (of words, end excluded), items (ids of items that occur, sorted) per row of docs.
+
+    keep: other columns of docs to carry along, as a struct ``kept``.
+    """
     spark = docs.sparkSession
     kind = dict(docs.dtypes)[doc_id]
     schema = SCHEMA.format(kind=kind)
-    out = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
+    carried = F.struct(*[F.col(c) for c in keep]) if keep else F.lit(None).cast("boolean")
+    out = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"), carried.alias("kept"))
+    schema = f"{schema}, text string, kept {dict(out.dtypes)['kept']}"
     blocks = list_or_one(_blocks(benchmark, item_id, item_text, block_bytes))
     n = 0
     for items in blocks:
         index = spark.sparkContext.broadcast(Index(items, span, k))
         if n:
             out = written(out, spark, "decontam")
-        out = out.mapInArrow(_scan(index, n > 0), schema + ", text string")
+        out = out.mapInArrow(_scan(index, n > 0), schema)
         n += 1
-    return out.drop("text")
+    return out.drop("text") if keep else out.drop("text", "kept")
 
 
 def list_or_one(blocks: Iterator[list[tuple[str, str]]]) -> Iterator[list[tuple[str, str]]]:
@@ -186,6 +191,7 @@ def _mark(index: Index, part: pa.RecordBatch, data: np.ndarray, offs: np.ndarray
             pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))),
             pa.array([sorted(x) for x in items], pa.list_(pa.string())),
             part.column("text"),
+            part.column("kept"),
         ],
-        names=["doc_id", "n_words", "n_hit", "spans", "items", "text"],
+        names=["doc_id", "n_words", "n_hit", "spans", "items", "text", "kept"],
     )

@@ -117,3 +117,13 @@ def assess(docs: DataFrame, weights: str, *, doc_id: str = "doc_id", text: str =
 def rules(docs: DataFrame, trusted: DataFrame, *, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """assess() with weights counted from docs themselves."""
     return assess(docs, bucket_weights(bucket_counts(docs, trusted, doc_id=doc_id, text=text)), doc_id=doc_id, text=text, threshold=threshold)
+
+
+def keep(docs: DataFrame, trusted: DataFrame, **options) -> DataFrame:
+    """The rows of docs that rules() keeps, with the columns of docs.
+
+    The row number holds the filter above the projection: pushed below, every figure would be computed twice.
+    """
+    doc_id = options.get("doc_id", "doc_id")
+    judged = rules(docs, trusted, **options).withColumn("_row", F.monotonically_increasing_id()).where("kept and _row >= 0")
+    return judged.select([F.col("doc_id").alias(c) if c == doc_id else F.col("_rest")[c].alias(c) for c in docs.columns])

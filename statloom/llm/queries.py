@@ -52,12 +52,16 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
-def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = vocabulary_path()
-    encoded = bpe.encode(table(spark, sf_dir, "documents"), path)
+def tokenized(docs: DataFrame, path: str, *keep: str) -> DataFrame:
+    """doc_id, n_tokens, digests of the ids and of the decoded text, and the ``keep`` columns (ids)."""
+    encoded = bpe.encode(docs, path)
     digests = encoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"), "ids")
-    out = bpe.decode(digests, path, keep=["doc_id", "n_tokens", "ids_sha256"])
-    return out.select("doc_id", "n_tokens", "ids_sha256", F.sha2("text", 256).alias("decoded_sha256"))
+    out = bpe.decode(digests, path, keep=["doc_id", "n_tokens", "ids_sha256", *keep])
+    return out.select("doc_id", "n_tokens", "ids_sha256", F.sha2("text", 256).alias("decoded_sha256"), *keep)
+
+
+def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenized(table(spark, sf_dir, "documents"), vocabulary_path())
 
 
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
