@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Pre-tokens remembered by one Python worker; beyond that it starts anew.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 200_000
 #: Bytes of text handled at once.
 CHUNK = 1 << 20
 
@@ -40,10 +40,13 @@ _OTHER_TEXT = re.compile(f"[^\x00-\x1b\x20-\x7f¡-±´-¸º»¿-ɏ‐-‧€]")
 _FAST = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTER}]+| ?[0-9]+| ?[^ \t\n\v\f\r{_LETTER}0-9]+|[ \t\n\v\f\r]+(?![^ \t\n\v\f\r])|[ \t\n\v\f\r]+")
 
 
-class ByteBpe:
-    """One vocabulary: greedy proposals, pair checks, exact merging, decoding."""
+class Decoder:
+    """The bytes of every token."""
 
     def __init__(self, path: str):
+        self.spec(path)
+
+    def spec(self, path: str) -> dict:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         shown, n = {}, 0
@@ -63,6 +66,27 @@ class ByteBpe:
             self.bytes[i] = b
         for s, i in self.special.items():
             self.bytes[i] = s.encode()
+        self.length = np.array([len(b) for b in self.bytes], np.int64)
+        self.start = np.concatenate(([0], np.cumsum(self.length)))
+        self.flat = np.frombuffer(b"".join(self.bytes), np.uint8)
+        return spec
+
+    def decode(self, ids: np.ndarray, begin: np.ndarray) -> list[str]:
+        size = self.length[ids]
+        ends = np.cumsum(size)
+        total = int(ends[-1]) if len(ends) else 0
+        at = np.arange(total) + np.repeat(self.start[ids] - (ends - size), size)
+        data = self.flat[at].tobytes()
+        cuts = np.concatenate(([0], ends))[begin]
+        return [data[a:b].decode("utf-8", "replace") for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
+
+
+class ByteBpe(Decoder):
+    """One vocabulary: greedy proposals, pair checks, exact merging."""
+
+    def __init__(self, path: str):
+        spec = self.spec(path)
+        vocab, size = spec["model"]["vocab"], len(self.bytes)
         self.longest = max(map(len, self.ids))
         self.split_special = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
         self.rank: dict[tuple[int, int], tuple[int, int]] = {}
@@ -80,15 +104,13 @@ class ByteBpe:
         order = np.argsort(keys)
         self.pair_keys, self.pair_ranks = keys[order], np.array([r for r, _ in self.rank.values()], np.int64)[order]
         self.pair_whole = np.array([w for _, w in self.rank.values()], np.int64)[order]
-        self.cache: dict[str, tuple[int, ...]] = {}
+        #: Ids of pre-tokens met before, as the bytes of 32-bit integers.
+        self.cache: dict[str | int, bytes] = {}
         self.exact = 0
-        self.length = np.array([len(b) for b in self.bytes], np.int64)
-        self.start = np.concatenate(([0], np.cumsum(self.length)))
-        self.flat = np.frombuffer(b"".join(self.bytes), np.uint8)
 
     def _borders(self, made: dict[int, tuple[int, int, int]], size: int) -> None:
         """Per token, from its last (first) byte up: the parts that end (start) it, and the rank at which each is merged away."""
-        far = 1 << 40
+        far = 1 << 30
         right: list[list[tuple[int, int]]] = [[(i, far)] for i in range(size)]
         left: list[list[tuple[int, int]]] = [[(i, far)] for i in range(size)]
         for whole in sorted(made, key=lambda w: made[w][2]):
@@ -98,7 +120,7 @@ class ByteBpe:
         depth = max(map(len, right + left))
 
         def table(chains, k, fill):
-            out = np.full((size, depth), fill, np.int64)
+            out = np.full((size, depth), fill, np.int32)
             for i, c in enumerate(chains):
                 out[i, : len(c)] = [x[k] for x in c]
             return out
@@ -114,7 +136,7 @@ class ByteBpe:
         while len(live):
             x, y = a[live], b[live]
             ra, rb = self.right_rank[x, i], self.left_rank[y, j]
-            key = self.right[x, i] << 32 | self.left[y, j]
+            key = self.right[x, i].astype(np.int64) << 32 | self.left[y, j]
             at = np.minimum(np.searchsorted(self.pair_keys, key), len(self.pair_keys) - 1)
             across = np.where(self.pair_keys[at] == key, self.pair_ranks[at], self.far)
             # of equal pairs the leftmost merges first: inside a before the border, the border before inside b
@@ -211,7 +233,7 @@ class ByteBpe:
             at = end
         return out
 
-    def learn(self, new: list[str]) -> dict[str, tuple[int, ...]]:
+    def learn(self, new: list[str]) -> dict[str, bytes]:
         """Encodings of pre-tokens."""
         raw = [w.encode() for w in new]
         tried = [self.propose(w) for w in raw]
@@ -225,7 +247,7 @@ class ByteBpe:
         for k, ids in zip(failed.tolist(), self.merge_all([raw[k] for k in failed.tolist()]), strict=True):
             tried[k] = ids
         self.exact += len(failed)
-        return dict(zip(new, map(tuple, tried), strict=True))
+        return {w: np.array(t, np.int32).tobytes() for w, t in zip(new, tried, strict=True)}
 
     def pieces(self, text: str) -> list[str | int]:
         """Pre-tokens of a text, and ids of special tokens in it."""
@@ -255,32 +277,23 @@ class ByteBpe:
         known = self.cache
         new = {w for ws in split for w in ws if w not in known}
         for w in [w for w in new if isinstance(w, int)]:
-            known[w] = (w,)
+            known[w] = w.to_bytes(4, "little")
             new.discard(w)
         if new:
             known.update(self.learn(list(new)))
-        rows = [list(chain.from_iterable(map(known.__getitem__, ws))) for ws in split]
-        begin = np.concatenate(([0], np.cumsum([len(r) for r in rows]))).astype(np.int64)
-        return np.fromiter(chain.from_iterable(rows), np.int32, int(begin[-1])), begin
-
-    def decode(self, ids: np.ndarray, begin: np.ndarray) -> list[str]:
-        size = self.length[ids]
-        ends = np.cumsum(size)
-        total = int(ends[-1]) if len(ends) else 0
-        at = np.arange(total) + np.repeat(self.start[ids] - (ends - size), size)
-        data = self.flat[at].tobytes()
-        cuts = np.concatenate(([0], ends))[begin]
-        return [data[a:b].decode("utf-8", "replace") for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
+        rows = [b"".join(map(known.__getitem__, ws)) for ws in split]
+        begin = np.concatenate(([0], np.cumsum([len(r) >> 2 for r in rows]))).astype(np.int64)
+        return np.frombuffer(b"".join(rows), np.int32), begin
 
 
-_loaded: dict[str, ByteBpe] = {}
+_loaded: dict[tuple, Decoder] = {}
 
 
-def load(path: str) -> ByteBpe:
-    """One per Python worker."""
-    if path not in _loaded:
-        _loaded[path] = ByteBpe(path)
-    return _loaded[path]
+def load(path: str, kind: type = ByteBpe):
+    """One per Python worker and use."""
+    if (path, kind) not in _loaded:
+        _loaded[path, kind] = kind(path)
+    return _loaded[path, kind]
 
 
 def encode(docs: DataFrame, vocabulary: str, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -311,7 +324,7 @@ def decode(encoded: DataFrame, vocabulary: str, *, keep: list[str] = ["doc_id"],
     schema = ", ".join(f"`{c}` {types[c]}" for c in keep)
 
     def run(batches):
-        bpe = load(vocabulary)
+        bpe = load(vocabulary, Decoder)
         for batch in batches:
             i, n = 0, batch.num_rows
             col = batch.column(ids)
