@@ -25,6 +25,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import tidy
+
 #: Pre-tokens remembered by one Python worker; beyond that it starts anew.
 CACHE_WORDS = 200_000
 #: Bytes of text handled at once.
@@ -313,9 +315,10 @@ def encode(docs: DataFrame, vocabulary: str, *, doc_id: str = "doc_id", text: st
                 lists = pa.ListArray.from_arrays(pa.array(begin, pa.int32()), pa.array(ids, pa.int32()))
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i), lists], names=["doc_id", "ids"])
                 i = j
+        bpe.cache = {}
 
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return rows.mapInArrow(run, f"doc_id {kind}, ids array<int>")
+    return rows.mapInArrow(tidy(run), f"doc_id {kind}, ids array<int>")
 
 
 def decode(encoded: DataFrame, vocabulary: str, *, keep: list[str] = ["doc_id"], ids: str = "ids") -> DataFrame:  # noqa: B006
@@ -341,4 +344,4 @@ def decode(encoded: DataFrame, vocabulary: str, *, keep: list[str] = ["doc_id"],
                 yield pa.RecordBatch.from_arrays([*[batch.column(c).slice(i, j - i) for c in keep], texts], names=[*keep, "text"])
                 i = j
 
-    return encoded.mapInArrow(run, schema + ", text string")
+    return encoded.mapInArrow(tidy(run), schema + ", text string")

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernel as K
-from .common import chunks, written
+from .common import chunks, tidy, written
 
 #: Text bytes of one benchmark block; what the executors hold is a small multiple of it.
 BLOCK_BYTES = 16 << 20
@@ -126,7 +126,7 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, *, doc_id: str = "doc_id",
         index = spark.sparkContext.broadcast(Index(items, span, k))
         if n:
             out = written(out, spark, "decontam")
-        out = out.mapInArrow(_scan(index, n > 0), schema)
+        out = out.mapInArrow(tidy(_scan(index, n > 0)), schema)
         n += 1
     return out.drop("text") if keep else out.drop("text", "kept")
 

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import skew_lookup, written
+from .common import skew_lookup, tidy, written
 
 
 #: A graph of no more links than this is finished by one task of bounded size.
@@ -55,7 +55,7 @@ def components(edges: DataFrame, tag: str = "cc") -> DataFrame:
         if not n:
             break
         if n <= FEW_LINKS:
-            hook = left.repartition(1).mapInArrow(_finish, "u long, p long")
+            hook = left.repartition(1).mapInArrow(tidy(_finish), "u long, p long")
             hooks.append(written(hook, spark, tag) if hooks else hook)
             break
         both = left.union(left.select("b", "a")).toDF("u", "v")

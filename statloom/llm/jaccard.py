@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernel as K
-from .common import chunks, skew_lookup, written
+from .common import chunks, skew_lookup, tidy, written
 from .graph import components, sorted_groups
 
 #: Sets that share a part and are paired there; larger groups are linked to one member.
@@ -141,7 +141,7 @@ def classes(docs: DataFrame, doc_id: str, text: str, k: int, num: int, den: int)
                 _, _, slack = part_keys(sets, begin, bands)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(size), pa.array(class_ids(sets, begin), mask=size == 0), pa.array(slack)], names=["doc_id", "n", "cls", "slack"])
 
-    return _texts(docs, doc_id, text).mapInArrow(run, f"doc_id {kind}, n long, cls long, slack long")
+    return _texts(docs, doc_id, text).mapInArrow(tidy(run), f"doc_id {kind}, n long, cls long, slack long")
 
 
 def _texts(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -163,7 +163,7 @@ def _keys(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
                     if begin[i + 1] > begin[i] and c not in seen:
                         seen.add(c)
                         fresh.append(i)
-                if len(seen) > 1_000_000:
+                if len(seen) > 200_000:
                     seen.clear()
                 if not fresh:
                     continue
@@ -172,7 +172,7 @@ def _keys(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
                 keys, owner, _ = part_keys(own, np.concatenate(([0], np.cumsum(size))), bands)
                 yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(cls[fresh][owner])], names=["key", "cls"])
 
-    return docs.where("doc_id is not null").mapInArrow(run, "key long, cls long")
+    return docs.where("doc_id is not null").mapInArrow(tidy(run), "key long, cls long")
 
 
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -335,7 +335,7 @@ def join(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", k: int
     kinds = rows.where("cls is not null and doc_id is not null").groupBy("cls").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("slack").alias("slack"))
     kinds = written(kinds, spark, "jaccard-classes")
 
-    met = _keys(texts, k, num, den).repartition("key").sortWithinPartitions("key", "cls").mapInArrow(_meet, "hot byte, a long, b long, n long")
+    met = _keys(texts, k, num, den).repartition("key").sortWithinPartitions("key", "cls").mapInArrow(tidy(_meet), "hot byte, a long, b long, n long")
     met = written(met, spark, "jaccard-met")
     warm = met.where("hot = 1").groupBy("a").agg(F.count("*").alias("h")).withColumnRenamed("a", "cls")
     state = kinds.select("cls", "slack").join(warm, "cls", "left").select(F.col("cls").alias("a"), (F.col("slack") - F.coalesce("h", F.lit(0))).alias("room"))
@@ -352,10 +352,10 @@ def join(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", k: int
 
     wanted = member.select(F.col("first").alias("doc_id"), "cls", "block", "c", "own")
     # wanted grows with the corpus: never broadcast
-    loaded = texts.join(wanted.hint("merge"), "doc_id").mapInArrow(_load(k), "cls long, block long, c int, own int, shingles binary")
+    loaded = texts.join(wanted.hint("merge"), "doc_id").mapInArrow(tidy(_load(k)), "cls long, block long, c int, own int, shingles binary")
     other = F.explode(F.sequence(F.lit(0), F.col("c") - 1))
     tasks = loaded.withColumn("o", other).select("block", F.least("own", "o").alias("i"), F.greatest("own", "o").alias("j"), "cls", "shingles")
-    links = tasks.repartition("block", "i", "j").sortWithinPartitions("block", "i", "j").mapInArrow(_verify(num, den), "a long, b long")
+    links = tasks.repartition("block", "i", "j").sortWithinPartitions("block", "i", "j").mapInArrow(tidy(_verify(num, den)), "a long, b long")
 
     joined = components(links, "jaccard-links").withColumnRenamed("node", "cls")
     joined = joined.join(kinds.select("cls", "first"), "cls")

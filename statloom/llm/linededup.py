@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import kernel as K
-from .common import chunks, work_dir
+from .common import chunks, tidy, work_dir
 
 _SECOND = 0xA0761D6478BD642F
 
@@ -63,7 +63,7 @@ def line_hashes(docs: DataFrame, doc_id: str, text: str, min_chars: int) -> Data
                 yield pa.RecordBatch.from_arrays([part.column("doc_id").take(pa.array(rows["d"])), pa.array(rows["a"]), pa.array(rows["b"])], names=["doc_id", "h1", "h2"])
 
     pairs = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return pairs.mapInArrow(run, f"doc_id {kind}, h1 long, h2 long")
+    return pairs.mapInArrow(tidy(run), f"doc_id {kind}, h1 long, h2 long")
 
 
 class LineRuns:
@@ -131,7 +131,7 @@ def dedup_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     plain = docs.withColumns({text: F.col(text).cast("string")})
     joined = plain.join(runs.owned(), F.col(doc_id) == F.col("owner"), "left").drop("owner")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in plain.schema) + ", n_lines long, n_dropped long"
-    return joined.mapInArrow(_cut(doc_id, text, min_chars, plain.columns), schema)
+    return joined.mapInArrow(tidy(_cut(doc_id, text, min_chars, plain.columns)), schema)
 
 
 def _cut(doc_id: str, text: str, min_chars: int, columns: list[str]):

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernel as K
-from .common import chunks, skew_lookup, written
+from .common import chunks, skew_lookup, tidy, written
 from .graph import sorted_groups
 
 #: Contexts of one mark that make a subtree in one task's memory (1.4 million suffixes); larger groups get longer prefixes.
@@ -65,7 +65,7 @@ def _shared_marks(texts: DataFrame, span: int, k: int) -> DataFrame:
                 of, mark, _, _ = marks(data, offs, span, k)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id").take(pa.array(of)), pa.array(mark)], names=["doc_id", "mark"])
 
-    held = texts.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, mark long")
+    held = texts.select("doc_id", "text").mapInArrow(tidy(run), f"doc_id {kind}, mark long")
     return held.groupBy("mark").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count("*").alias("contexts")).where("lo <> hi").select("mark", "contexts")
 
 
@@ -80,7 +80,7 @@ def _runs(texts: DataFrame, span: int, k: int) -> DataFrame:
                 at = pa.array(of)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id").take(at), part.column("digest").take(at), pa.array(mark), pa.array(a << 32 | b)], names=["doc_id", "digest", "mark", "at"])
 
-    return texts.mapInArrow(run, f"doc_id {kind}, digest long, mark long, at long")
+    return texts.mapInArrow(tidy(run), f"doc_id {kind}, digest long, mark long, at long")
 
 
 def _contexts(span: int):
@@ -241,12 +241,12 @@ def repeated_spans(texts: DataFrame, span: int, k: int) -> DataFrame:
     shared = written(_shared_marks(texts, span, k), spark, "substring-marks")
     runs = skew_lookup(_runs(texts, span, k), shared, "mark", ["contexts"], "contexts", ["doc_id", "at"]).where("contexts is not null")
     lists = runs.groupBy("doc_id", "digest").agg(F.collect_list(F.struct("mark", (F.col("contexts") > GROUP).alias("many"), "at")).alias("runs"))
-    contexts = texts.join(lists.hint("merge"), ["doc_id", "digest"]).mapInArrow(_contexts(span), f"mark long, many boolean, doc_id {kind}, digest long, a int, n int, words binary")
+    contexts = texts.join(lists.hint("merge"), ["doc_id", "digest"]).mapInArrow(tidy(_contexts(span)), f"mark long, many boolean, doc_id {kind}, digest long, a int, n int, words binary")
     contexts = written(contexts, spark, "substring-contexts")
 
     out = f"doc_id {kind}, digest long, s int, e int"
-    few = contexts.where("not many").repartition("mark").sortWithinPartitions("mark").mapInArrow(_subtrees(span), out)
-    windows = contexts.where("many").mapInArrow(_full_prefixes(span, kind), f"p long, q long, doc_id {kind}, digest long, s int")
+    few = contexts.where("not many").repartition("mark").sortWithinPartitions("mark").mapInArrow(tidy(_subtrees(span)), out)
+    windows = contexts.where("many").mapInArrow(tidy(_full_prefixes(span, kind)), f"p long, q long, doc_id {kind}, digest long, s int")
     owners = windows.groupBy("p", "q").agg(F.min("doc_id").alias("owner"), F.count("*").alias("n"))
     owners = owners.where("n > 1").select("p", F.struct("q", "owner").alias("o"), "n").groupBy("p").agg(F.collect_list("o").alias("os"), F.sum("n").alias("n"))
     many = skew_lookup(windows, owners, "p", ["os"], "n", ["doc_id", "s"])
@@ -263,7 +263,7 @@ def dedup_substrings(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "te
     cuts = cuts.select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest"), F.col("cut").alias("_cut"))
     joined = plain.withColumn("_own", F.xxhash64(text)).join(cuts.hint("merge"), (F.col(doc_id) == F.col("_id")) & (F.col("_own") == F.col("_digest")), "left").drop("_id", "_digest", "_own")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in plain.schema) + ", n_words long, n_removed long"
-    return joined.mapInArrow(_remove(text, plain.columns), schema)
+    return joined.mapInArrow(tidy(_remove(text, plain.columns)), schema)
 
 
 def _remove(text: str, columns: list[str]):

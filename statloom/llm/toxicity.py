@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernel as K
-from .common import chunks
+from .common import chunks, tidy
 
 MAX_POSITIVE, MAX_UNLABELLED = 4_000, 12_000
 #: Features kept, of those whose G statistic (in nats) is at least LEAST_GAIN.
@@ -130,7 +130,7 @@ def _rows(df: DataFrame) -> list[np.ndarray]:
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), lists], names=["doc_id", "f"])
 
     kind = dict(df.dtypes)["doc_id"]
-    got = df.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, f array<int>").toArrow().sort_by("doc_id")
+    got = df.select("doc_id", "text").mapInArrow(tidy(run), f"doc_id {kind}, f array<int>").toArrow().sort_by("doc_id")
     return [np.asarray(x.values.to_numpy(), np.int64) for x in got.column("f").combine_chunks()] if got.num_rows else []
 
 
@@ -157,4 +157,4 @@ def score(docs: DataFrame, model: Model, *, doc_id: str = "doc_id", text: str =
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(shared.value.score(hashed, of, part.num_rows))], names=["doc_id", "score"])
 
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return rows.mapInArrow(run, f"doc_id {kind}, score double")
+    return rows.mapInArrow(tidy(run), f"doc_id {kind}, score double")

@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import skew_lookup, work_dir, written
+from .common import skew_lookup, tidy, work_dir, written
 
 #: An archive is closed once it is this long, and the task goes on with another.
 ARCHIVE_BYTES = 256 << 20
@@ -170,10 +170,10 @@ def write_archives(pages: DataFrame, *, folder: str | None = None, page_id: str
     payload = F.coalesce("html", F.lit("")).cast("binary")
     repeated = rows.where(F.coalesce(F.octet_length("html"), F.lit(0)) >= min_revisit_bytes).groupBy(F.sha1(payload).alias("sha")).agg(F.min("page_id").alias("refers_to"), F.count("*").alias("copies")).where("copies > 1")
     repeated = written(repeated, spark, "warc-repeated")
-    prepared = rows.mapInArrow(_prepare, f"page_id {kind}, url string, sha string, payload_bytes long, member binary")
+    prepared = rows.mapInArrow(tidy(_prepare), f"page_id {kind}, url string, sha string, payload_bytes long, member binary")
     placed = skew_lookup(prepared, repeated, "sha", ["refers_to"], "copies", ["page_id"])
     placed = placed.withColumn("refers_to", F.when((F.col("payload_bytes") >= min_revisit_bytes) & (F.col("page_id") > F.col("refers_to")), F.col("refers_to")))
-    index = placed.mapInArrow(_archive(folder), INDEX.format(kind=kind))
+    index = placed.mapInArrow(tidy(_archive(folder)), INDEX.format(kind=kind))
     return folder, written(index, spark, "warc-index")
 
 
@@ -185,7 +185,7 @@ def read_records(folder: str, selected: DataFrame) -> DataFrame:
     kind = dict(selected.dtypes)["page_id"]
     n = int(selected.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = selected.select("archive", "offset", "length", "page_id", "refers_to").repartitionByRange(n, "archive", "offset").sortWithinPartitions("archive", "offset")
-    return rows.mapInArrow(_read(folder), f"page_id {kind}, url string, payload_bytes long, payload_digest string, record_type string, refers_to {kind}, payload binary")
+    return rows.mapInArrow(tidy(_read(folder)), f"page_id {kind}, url string, payload_bytes long, payload_digest string, record_type string, refers_to {kind}, payload binary")
 
 
 def _read(folder: str):
