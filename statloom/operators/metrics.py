@@ -73,7 +73,8 @@ def confusion_matrix(df: DataFrame, y: str, p: str) -> DataFrame:
     """truth, prediction, n over the full grid of labels 0..max, zero-filled."""
     counts = df.groupBy(F.col(y).cast("long").alias("truth"), F.col(p).cast("long").alias("prediction")).agg(F.count("*").alias("n"))
     top = counts.agg(F.max(F.greatest("truth", "prediction")).alias("m"))
-    grid = top.select(F.explode(F.sequence(F.lit(0), "m")).cast("long").alias("truth"), "m").select("truth", F.explode(F.sequence(F.lit(0), "m")).cast("long").alias("prediction"))
+    labels = F.sequence(F.lit(0).cast("long"), F.col("m"))
+    grid = top.select(F.explode(labels).alias("truth"), "m").select("truth", F.explode(labels).alias("prediction"))
     return grid.join(counts, ["truth", "prediction"], "left").select("truth", "prediction", F.coalesce("n", F.lit(0)).alias("n"))
 
 

@@ -68,7 +68,7 @@ def positional_encoding(spark: SparkSession, length: int, width: int) -> DataFra
 
 
 def causal_mask(spark: SparkSession, n: int) -> DataFrame:
-    rows = spark.range(n).withColumnRenamed("id", "i").withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).cast("long"))
+    rows = spark.range(n).withColumnRenamed("id", "i").withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))))
     return rows.withColumn("mask", F.when(F.col("j") <= F.col("i"), 1.0).otherwise(0.0))
 
 

@@ -89,7 +89,7 @@ def bootstrap(df: DataFrame, id_column: str, iterations: int, size: int | None =
 
 
 def out_of_bag(df: DataFrame, id_column: str, drawn: DataFrame, iterations: int) -> DataFrame:
-    every = df.select(id_column).withColumn("iteration", F.explode(F.sequence(F.lit(0), F.lit(iterations - 1))).cast("long"))
+    every = df.select(id_column).withColumn("iteration", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(iterations - 1).cast("long"))))
     return every.join(drawn.select("iteration", id_column).distinct(), ["iteration", id_column], "left_anti")
 
 
@@ -98,7 +98,7 @@ def stratified_bootstrap(df: DataFrame, id_column: str, label: str, iterations:
     w = Window.partitionBy(label).orderBy(id_column)
     rows = df.select(id_column, label, (F.row_number().over(w) - 1).alias("rn"))
     sizes = rows.groupBy(label).agg(F.count("*").alias("n"))
-    draws = sizes.withColumn("iteration", F.explode(F.sequence(F.lit(0), F.lit(iterations - 1))).cast("long")).withColumn("draw", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
+    draws = sizes.withColumn("iteration", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(iterations - 1).cast("long")))).withColumn("draw", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
     draws = draws.withColumn("rn", F.pmod(F.xxhash64(label, "iteration", "draw", F.lit(seed)), "n").cast("int")).drop("n")
     return draws.join(rows, [label, "rn"]).select("iteration", "draw", label, id_column)
 
