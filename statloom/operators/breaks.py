@@ -52,7 +52,8 @@ def _series(df: DataFrame, y: str, features: list[str], order: str, by: list[str
         return pd.DataFrame([[*[pdf[k].iloc[0] for k in keys], *row] for row in f(x, pdf[y].to_numpy(float))], columns=names)
 
     rows = df.select(*keys, order, F.col(y).cast("double").alias(y), *[F.col(c).cast("double").alias(c) for c in features])
-    return rows.groupBy(*(keys or [F.lit(0)])).applyInPandas(run, full)
+    rows = rows if keys else rows.withColumn("_series", F.lit(0))
+    return rows.groupBy(*(keys or ["_series"])).applyInPandas(run, full)
 
 
 def recursive_residuals(x: np.ndarray, y: np.ndarray) -> np.ndarray:

@@ -104,6 +104,13 @@ def difference_in_differences(df: DataFrame, y: str, treated: str, post: str) ->
 # instruments
 
 
+def _pinv(a: np.ndarray) -> np.ndarray:
+    """Projections need no independent instruments."""
+    scale = np.sqrt(np.abs(np.diag(a)))
+    scale[scale == 0] = 1
+    return np.linalg.pinv(a / np.outer(scale, scale), rcond=1e-11) / np.outer(scale, scale)
+
+
 def _iv_moments(df: DataFrame, y: str, x: list[str], z: list[str]):
     cols = [F.lit(1.0), *[F.col(c).cast("double") for c in [*x, *z, y]]]
     row = df.dropna(subset=[*x, *z, y]).agg(F.count("*"), *_sums(cols, F.lit(1.0))).first()
@@ -124,7 +131,7 @@ class TwoStageLeastSquares:
     def fit(self, df: DataFrame) -> TwoStageLeastSquares:
         n, a, xi, zi = _iv_moments(df, self.y, self.x, self.z)
         zz, zx, zy = a[np.ix_(zi, zi)], a[np.ix_(zi, xi)], a[zi, -1]
-        w = _inverse(zz)
+        w = _pinv(zz)
         try:
             bread = np.linalg.inv(zx.T @ w @ zx)
         except np.linalg.LinAlgError as e:
@@ -150,7 +157,7 @@ class TwoStageLeastSquares:
         for i, c in enumerate(self.x):
             at = self._xi[1 + i]
             tss = a[at, at] - a[0, at] ** 2 / self.n
-            proj = a[zi, at] @ _inverse(a[np.ix_(zi, zi)]) @ a[zi, at]
+            proj = a[zi, at] @ _pinv(a[np.ix_(zi, zi)]) @ a[zi, at]
             rss = a[at, at] - proj
             k = len(self.z)
             out[c] = float(((tss - rss) / k) / (rss / (self.n - k - 1))) if rss > 0 else math.inf
@@ -166,7 +173,7 @@ class TwoStageLeastSquares:
             raise InvalidParameter("z", "not over-identified")
         a, zi, xi = self._a, self._zi, self._xi
         ze = a[zi, -1] - a[np.ix_(zi, xi)] @ self.beta
-        j = float(self.n * (ze @ _inverse(a[np.ix_(zi, zi)]) @ ze) / self.rss)
+        j = float(self.n * (ze @ _pinv(a[np.ix_(zi, zi)]) @ ze) / self.rss)
         return {"j": j, "df": df, "p_value": chi_squared_p_value(j, df)}
 
 

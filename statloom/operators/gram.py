@@ -70,7 +70,7 @@ def _inverse(a: np.ndarray) -> np.ndarray:
     scale = np.sqrt(np.abs(np.diag(a)))
     scale[scale == 0] = 1
     s = a / np.outer(scale, scale)
-    if np.linalg.matrix_rank(s, tol=1e-10) < len(s):
+    if np.linalg.matrix_rank(s, tol=1e-13) < len(s):
         raise SingularMatrix("the columns are linearly dependent")
     return np.linalg.inv(s) / np.outer(scale, scale)
 

@@ -184,7 +184,7 @@ class GARCH:
         rows = df.select(*keys, order, F.col(column).cast("double").alias(column))
         if keys:
             return rows.groupBy(*keys).applyInPandas(run, schema)
-        return rows.groupBy(F.lit(0)).applyInPandas(run, schema)  # one series is one sequential recursion
+        return rows.withColumn("_series", F.lit(0)).groupBy("_series").applyInPandas(run, schema)  # one series is one sequential recursion
 
 
 def garch_forecast(omega: float, alpha: float, beta: float, last_variance: float, h: int) -> list[float]:
