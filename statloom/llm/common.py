@@ -115,5 +115,10 @@ def chunks(batch: pa.RecordBatch, column: str, limit: int = 1 << 19) -> Iterator
         i = j
 
 
+def replaced(row: pa.StructArray, at: int, column: pa.Array) -> pa.StructArray:
+    """A struct array with one of its fields exchanged."""
+    return pa.StructArray.from_arrays([column if k == at else row.field(k) for k in range(row.type.num_fields)], names=[f.name for f in row.type])
+
+
 def text_of(data: np.ndarray, start: int, end: int) -> str:
     return data[start:end].tobytes().decode("utf-8", "replace")

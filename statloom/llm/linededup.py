@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import kernel as K
-from .common import chunks, tidy, work_dir
+from .common import chunks, replaced, tidy, work_dir
 
 _SECOND = 0xA0761D6478BD642F
 
@@ -128,19 +128,26 @@ def dedup_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     for a, b in edges:
         batch = docs if a is None else docs.where((F.col(doc_id) >= a) & (F.col(doc_id) < b))
         runs.add(line_hashes(batch, doc_id, text, min_chars))
-    plain = docs.withColumns({text: F.col(text).cast("string")})
-    joined = plain.join(runs.owned(), F.col(doc_id) == F.col("owner"), "left").drop("owner")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in plain.schema) + ", n_lines long, n_dropped long"
-    return joined.mapInArrow(tidy(_cut(doc_id, text, min_chars, plain.columns)), schema)
+    # all columns travel as one struct, so that no name of theirs can clash
+    rows = docs.withColumns({text: F.col(text).cast("string")})
+    packed = rows.select(F.struct("*").alias("row"), F.col(doc_id).alias("id"))
+    joined = packed.join(runs.owned(), F.col("id") == F.col("owner"), "left").drop("owner")
+    schema = f"row {dict(packed.dtypes)['row']}, n_lines long, n_dropped long"
+    out = joined.mapInArrow(tidy(_cut(text, min_chars, rows.columns)), schema)
+    return out.select(*[F.col("row")[c].alias(c) for c in rows.columns], "n_lines", "n_dropped")
 
 
-def _cut(doc_id: str, text: str, min_chars: int, columns: list[str]):
+def _cut(text: str, min_chars: int, columns: list[str]):
+    at = columns.index(text)
+
     def run(batches):
         for batch in batches:
-            for part, data, offs in chunks(batch, text):
+            row = batch.column("row")
+            flat = pa.RecordBatch.from_arrays([row.field(at), batch.column("id"), batch.column("_h1"), batch.column("_h2"), row], names=["text", "id", "_h1", "_h2", "row"])
+            for part, data, offs in chunks(flat, "text"):
                 starts, ends, of, long, h1, h2 = line_keys(data, offs, min_chars)
                 first = np.searchsorted(of, np.arange(part.num_rows + 1))
-                own1, own2, ids = part.column("_h1"), part.column("_h2"), part.column(doc_id)
+                own1, own2, ids = part.column("_h1"), part.column("_h2"), part.column("id")
                 out, total, dropped = [], [], []
                 for d in range(part.num_rows):
                     i, j = first[d], first[d + 1]
@@ -154,7 +161,6 @@ def _cut(doc_id: str, text: str, min_chars: int, columns: list[str]):
                         out.append(b"\n".join(data[s:e].tobytes() for s, e in zip(starts[i:j][keep].tolist(), ends[i:j][keep].tolist(), strict=True)).decode())
                     else:
                         out.append(data[offs[d] : offs[d + 1]].tobytes().decode())
-                arrays = [pa.array(out, pa.string()) if c == text else part.column(c) for c in columns]
-                yield pa.RecordBatch.from_arrays([*arrays, pa.array(total, pa.int64()), pa.array(dropped, pa.int64())], names=[*columns, "n_lines", "n_dropped"])
+                yield pa.RecordBatch.from_arrays([replaced(part.column("row"), at, pa.array(out, pa.string())), pa.array(total, pa.int64()), pa.array(dropped, pa.int64())], names=["row", "n_lines", "n_dropped"])
 
     return run

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernel as K
-from .common import chunks, skew_lookup, tidy, written
+from .common import chunks, replaced, skew_lookup, tidy, written
 from .graph import sorted_groups
 
 #: Contexts of one mark that make a subtree in one task's memory (1.4 million suffixes); larger groups get longer prefixes.
@@ -257,21 +257,27 @@ def repeated_spans(texts: DataFrame, span: int, k: int) -> DataFrame:
 
 def dedup_substrings(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", span: int = 50, k: int = 24) -> DataFrame:
     """docs with ``text`` as its kept words, plus n_words (before) and n_removed."""
-    plain = docs.withColumns({text: F.col(text).cast("string")})
-    texts = plain.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.xxhash64(text).alias("digest"))
+    rows = docs.withColumns({text: F.col(text).cast("string")})
+    texts = rows.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.xxhash64(text).alias("digest"))
     cuts = repeated_spans(texts.where("doc_id is not null"), span, k)
-    cuts = cuts.select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest"), F.col("cut").alias("_cut"))
-    joined = plain.withColumn("_own", F.xxhash64(text)).join(cuts.hint("merge"), (F.col(doc_id) == F.col("_id")) & (F.col("_own") == F.col("_digest")), "left").drop("_id", "_digest", "_own")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in plain.schema) + ", n_words long, n_removed long"
-    return joined.mapInArrow(tidy(_remove(text, plain.columns)), schema)
+    # all columns travel as one struct, so that no name of theirs can clash
+    packed = rows.select(F.struct("*").alias("row"), F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("digest"))
+    joined = packed.join(cuts.hint("merge"), ["doc_id", "digest"], "left").select("row", "cut")
+    schema = f"row {dict(packed.dtypes)['row']}, n_words long, n_removed long"
+    out = joined.mapInArrow(tidy(_remove(text, rows.columns)), schema)
+    return out.select(*[F.col("row")[c].alias(c) for c in rows.columns], "n_words", "n_removed")
 
 
 def _remove(text: str, columns: list[str]):
+    place = columns.index(text)
+
     def run(batches):
         for batch in batches:
-            for part, data, offs in chunks(batch, text):
+            row = batch.column("row")
+            flat = pa.RecordBatch.from_arrays([row.field(place), batch.column("cut"), row], names=["text", "cut", "row"])
+            for part, data, offs in chunks(flat, "text"):
                 out, total, gone = [], [], []
-                for d, cut in enumerate(part.column("_cut").to_pylist()):
+                for d, cut in enumerate(part.column("cut").to_pylist()):
                     words = data[offs[d] : offs[d + 1]].tobytes().split()
                     total.append(len(words))
                     if cut:
@@ -281,7 +287,6 @@ def _remove(text: str, columns: list[str]):
                         words = list(compress(words, np.cumsum(edge[:-1]) == 0))
                     gone.append(total[-1] - len(words))
                     out.append(b" ".join(words).decode())
-                arrays = [pa.array(out, pa.string()) if c == text else part.column(c) for c in columns]
-                yield pa.RecordBatch.from_arrays([*arrays, pa.array(total, pa.int64()), pa.array(gone, pa.int64())], names=[*columns, "n_words", "n_removed"])
+                yield pa.RecordBatch.from_arrays([replaced(part.column("row"), place, pa.array(out, pa.string())), pa.array(total, pa.int64()), pa.array(gone, pa.int64())], names=["row", "n_words", "n_removed"])
 
     return run
