@@ -1,9 +1,10 @@
 """Quality rules in DataFrame functions only: base rules, then a hashed n-gram log-likelihood ratio.
 
 Words are runs of anything but ASCII white space. Word unigrams and bigrams are hashed into ``BUCKETS`` buckets.
-Two smoothed multinomials over the buckets are counted: one from trusted texts, one from all texts (the raw
-corpus). A document's score is the mean, over its n-grams, of log p_trusted - log p_raw; it is kept if the score
-reaches ``threshold``. Bucket weights are rounded to integers (millionths), so sums are exact and verdicts do not
+Two multinomials over the buckets are counted: one from trusted texts, one from all texts (the raw corpus). Both are
+smoothed by ``PSEUDO`` counts at the size of the trusted set, so that a bucket with little evidence weighs little,
+however small the corpus is. A document's score is the mean, over its n-grams, of log p_trusted - log p_raw; it is
+kept if the score reaches ``threshold``. Bucket weights are rounded to integers (millionths), so sums are exact and verdicts do not
 depend on the order of rows or on the number of partitions.
 
 The raw counts cover every row. The trusted set is a set of ids of at most ``MAX_TRUSTED`` labelled rows (those of
@@ -23,6 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BUCKETS = 1 << 16
+PSEUDO = 20.0
 MAX_TRUSTED = 20_000
 #: Mean log-likelihood ratio that a kept document must reach.
 THRESHOLD = -0.15
@@ -75,13 +77,13 @@ def bucket_counts(docs: DataFrame, trusted: DataFrame, *, doc_id: str = "doc_id"
 
 
 def bucket_weights(counts: DataFrame) -> str:
-    """The weight of each bucket in millionths, comma-joined; add-one smoothing. BUCKETS numbers, whatever the corpus."""
+    """The weight of each bucket in millionths, comma-joined. BUCKETS numbers, whatever the corpus."""
     every = counts.sparkSession.range(BUCKETS).withColumnRenamed("id", "bucket")
     full = every.join(counts.withColumn("bucket", F.col("bucket").cast("long")), "bucket", "left").select("bucket", F.coalesce("raw", F.lit(0)).alias("raw"), F.coalesce("target", F.lit(0)).alias("target"))
     one = full.agg(F.sort_array(F.collect_list(F.struct("bucket", "raw", "target"))).alias("all"), F.sum("raw").alias("r"), F.sum("target").alias("t"))
 
     def weight(c: Column) -> Column:
-        ratio = F.log((c["target"] + 1) / (F.col("t") + BUCKETS)) - F.log((c["raw"] + 1) / (F.col("r") + BUCKETS))
+        ratio = F.log((c["target"] + PSEUDO) / (c["raw"] * F.col("t") / F.col("r") + PSEUDO))
         return F.when(F.col("t") > 0, F.round(ratio * 1_000_000)).otherwise(0).cast("int").cast("string")
 
     return one.select(F.array_join(F.transform("all", weight), ",")).first()[0]
