@@ -237,10 +237,10 @@ def verdicts_by_hand(rows, trusted, threshold):
         raw.update(buckets(t))
         if i in trusted:
             target.update(buckets(t))
-    nr, nt, b = sum(raw.values()), sum(target.values()), quality.BUCKETS
+    nr, nt = sum(raw.values()), sum(target.values())
 
     def weight(k):
-        x = (math.log((target[k] + 1) / (nt + b)) - math.log((raw[k] + 1) / (nr + b))) * 1_000_000
+        x = math.log((target[k] + quality.PSEUDO) / (raw[k] * nt / nr + quality.PSEUDO)) * 1_000_000
         return int(math.floor(abs(x) + 0.5)) * (1 if x >= 0 else -1)
 
     out = {}
@@ -256,10 +256,10 @@ def verdicts_by_hand(rows, trusted, threshold):
 def test_quality(spark, seed):
     rows = [*corpus(seed, 50), (960, ("same five words in row " * 9).strip()), (961, "a b c d e f g h i j k\na b c d e\n\na b c d e\n <|#$>")]
     trusted = {i for i, _ in rows if i % 2}
-    got = quality.rules(frame(spark, rows), spark.createDataFrame([(i,) for i in trusted], "doc_id long"), threshold=-0.05)
+    got = quality.rules(frame(spark, rows), spark.createDataFrame([(i,) for i in trusted], "doc_id long"), threshold=-0.005)
     found = {r.doc_id: (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed, r.kept) for r in got.collect()}
-    assert found == verdicts_by_hand(rows, trusted, -0.05)
-    kept = quality.keep(frame(spark, rows), spark.createDataFrame([(i,) for i in trusted], "doc_id long"), threshold=-0.05)
+    assert found == verdicts_by_hand(rows, trusted, -0.005)
+    kept = quality.keep(frame(spark, rows), spark.createDataFrame([(i,) for i in trusted], "doc_id long"), threshold=-0.005)
     assert {r.doc_id for r in kept.collect()} == {i for i, v in found.items() if v[-1]} and kept.columns == frame(spark, rows).columns
 
 
