@@ -118,7 +118,7 @@ def bai_perron(df: DataFrame, y: str, features: list[str], order: str, max_break
             if (m, n) not in best:
                 break
             options.append((m, *best[m, n]))
-        scored = [(n * math.log(max(r, 1e-300) / n) + k * (m + 1) * math.log(n), m, r, b) for m, r, b in options]
+        scored = [(n * math.log(max(r, 1e-300) / n) + (k * (m + 1) + m) * math.log(n), m, r, b) for m, r, b in options]
         bic, m, r, b = min(scored, key=lambda s: s[0])
         return [(m, b, bic, r)]
 

@@ -110,10 +110,10 @@ def anova(df: DataFrame, column: str, group: str, p_value: bool = True) -> DataF
     """f, df_between, df_within (and p): two-level aggregation, one row per group in between."""
     check(df, [column])
     x = clean(column)
-    groups = df.groupBy(group).agg(F.count(x).alias("n"), F.avg(x).alias("m"), (F.var_pop(x) * F.count(x)).alias("ss")).where("n > 0")
+    groups = df.groupBy(F.col(group).alias("_group")).agg(F.count(x).alias("n"), F.avg(x).alias("m"), (F.var_pop(x) * F.count(x)).alias("ss")).where("n > 0")
     total = groups.agg(F.sum("n").alias("n"), F.count("*").alias("k"), F.sum("ss").alias("ssw"), F.sum(F.col("n") * F.col("m")).alias("s"), F.sum(F.col("n") * F.col("m") * F.col("m")).alias("q"))
-    grand = groups.agg((F.sum(F.col("n") * F.col("m")) / F.sum("n")).alias("g"))
-    between = groups.join(F.broadcast(grand)).agg(F.sum(F.col("n") * F.pow(F.col("m") - F.col("g"), F.lit(2))).alias("ssb"))  # grand is one row
+    grand = groups.agg((F.sum(F.col("n") * F.col("m")) / F.sum("n")).alias("_grand"))
+    between = groups.join(F.broadcast(grand)).agg(F.sum(F.col("n") * F.pow(F.col("m") - F.col("_grand"), F.lit(2))).alias("ssb"))  # grand is one row
     out = total.join(F.broadcast(between)).select((F.col("k") - 1).alias("df_between"), (F.col("n") - F.col("k")).alias("df_within"), "ssb", "ssw")
     msb, msw = ratio(F.col("ssb"), F.col("df_between")), ratio(F.col("ssw"), F.col("df_within"))
     out = out.select(F.when(msw == 0, F.lit(float("inf"))).otherwise(ratio(msb, msw)).alias("f"), "df_between", "df_within")
