@@ -65,8 +65,8 @@ def skew_lookup(rows: DataFrame, keyed: DataFrame, key: str, values: list[str],
     """rows left-joined with ``keyed`` (one row per key), without sending a hot key's rows to one task.
 
     ``keyed[count]`` says how many rows hold the key. The at most HOT_KEYS most frequent keys are
-    broadcast; their rows get the values there and are dealt by a hash of ``spread`` afterwards.
-    All other rows meet ``keyed`` by an ordinary shuffle on the key.
+    broadcast; their rows get the values there and are dealt by a hash of ``spread`` afterwards, and so are
+    rows without a key. All other rows meet ``keyed`` by an ordinary shuffle on the key.
     """
     hot = keyed.where(F.col(count) > HOT_ROWS).orderBy(F.desc(count), key).limit(HOT_KEYS)
     hot = F.broadcast(hot.select(F.col(key).alias("_hk"), F.lit(True).alias("_hot"), *[F.col(v).alias(f"_h_{v}") for v in values]))
@@ -74,10 +74,10 @@ def skew_lookup(rows: DataFrame, keyed: DataFrame, key: str, values: list[str],
     kind = dict(rows.dtypes)[key]
     salt = F.xxhash64(*[F.col(s) if isinstance(s, str) else s for s in spread])
     salt = salt.cast(kind) if kind != "string" else F.concat(F.lit("~"), salt.cast("string"))
-    out = out.withColumn("_jk", F.when(F.col("_hot"), salt).otherwise(F.col(key)))
+    out = out.withColumn("_jk", F.when(F.col("_hot") | F.col(key).isNull(), salt).otherwise(F.col(key)))
     cold = keyed.select(F.col(key).alias("_ck"), *[F.col(v).alias(f"_c_{v}") for v in values])
     out = out.join(cold, out["_jk"] == cold["_ck"], "left")
-    found = [F.when(F.col("_hot"), F.col(f"_h_{v}")).otherwise(F.col(f"_c_{v}")).alias(v) for v in values]
+    found = [F.when(F.col("_hot"), F.col(f"_h_{v}")).when(F.col(key).isNotNull(), F.col(f"_c_{v}")).alias(v) for v in values]
     return out.select(*[F.col(c) for c in rows.columns], *found)
 
 
