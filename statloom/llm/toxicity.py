@@ -32,7 +32,7 @@ from .common import chunks, tidy
 
 MAX_POSITIVE, MAX_UNLABELLED = 4_000, 12_000
 #: Features kept, of those whose G statistic (in nats) is at least LEAST_GAIN.
-FEATURES, LEAST_GAIN = 512, 14
+FEATURES, LEAST_GAIN = 512, 10
 #: Lengths in bytes of the word beginnings that are features beside whole words.
 BEGINNINGS = (4, 5, 6, 7, 8)
 SPACE_BITS = 22
@@ -70,20 +70,17 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def _counts(rows: list[np.ndarray]) -> np.ndarray:
-    return np.bincount(np.concatenate(rows), minlength=1 << SPACE_BITS) if rows else np.zeros(1 << SPACE_BITS)
-
-
-def train(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, *, steps: int = 400, rate: float = 0.05, decay: float = 1e-4) -> Model:
+def train(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, *, steps: int = 400, rate: float = 0.05, decay: float = 5e-4) -> Model:
     """Rows are arrays of distinct hashed words."""
     if not positive or not unlabelled or not 0 < prior < 1:
         p = min(max(prior, 1e-6), 1 - 1e-6)
         return Model(np.zeros(0, np.int64), np.zeros(0), float(np.log(p / (1 - p))))
-    cp, cu = _counts(positive), _counts(unlabelled)
+    known, cp = np.unique(np.concatenate(positive), return_counts=True)
+    cu = np.bincount(np.concatenate(unlabelled), minlength=1 << SPACE_BITS)[known]
     a, b = (cp + 0.5) / (len(positive) + 1), (cu + 0.5) / (len(unlabelled) + 1)
     gain = np.where(a > b, cp * np.log(a / b) - len(positive) * (a - b), 0)
-    kept = np.sort(np.argsort(-gain, kind="stable")[:FEATURES])
-    kept = kept[gain[kept] > LEAST_GAIN]
+    best = np.argsort(-gain, kind="stable")[:FEATURES]
+    kept = np.sort(known[best[gain[best] > LEAST_GAIN]]).astype(np.int64)
 
     def dense(rows):
         x = np.zeros((len(rows), len(kept)), np.float32)
@@ -131,7 +128,7 @@ def _rows(df: DataFrame) -> list[np.ndarray]:
 
     kind = dict(df.dtypes)["doc_id"]
     got = df.select("doc_id", "text").mapInArrow(tidy(run), f"doc_id {kind}, f array<int>").toArrow().sort_by("doc_id")
-    return [np.asarray(x.values.to_numpy(), np.int64) for x in got.column("f").combine_chunks()] if got.num_rows else []
+    return [x.values.to_numpy() for x in got.column("f").combine_chunks()] if got.num_rows else []
 
 
 def fit(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> Model:
