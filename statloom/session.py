@@ -18,3 +18,21 @@ def get_session(app: str = "statloom", **settings: str) -> SparkSession:
     for k, v in {**SETTINGS, **settings}.items():
         builder = builder.config(k, v)
     return builder.getOrCreate()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, once per context, so that their Python workers can import it wherever they run."""
+    sc = spark.sparkContext
+    if getattr(sc, "_statloom_shipped", False):
+        return
+    import tempfile
+    import zipfile
+    from pathlib import Path
+
+    root = Path(__file__).resolve().parent
+    path = Path(tempfile.mkdtemp(prefix="statloom-")) / "statloom_package.zip"
+    with zipfile.ZipFile(path, "w") as z:
+        for p in sorted(root.rglob("*.py")):
+            z.write(p, str(p.relative_to(root.parent)))
+    sc.addPyFile(str(path))
+    sc._statloom_shipped = True
