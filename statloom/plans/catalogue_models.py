@@ -90,8 +90,8 @@ def elastic_net(spark, sf):
 
 
 @query("""WITH s AS (SELECT l_returnflag AS c, count(*)::DOUBLE / (SELECT count(*) FROM lineitem) AS p, avg(l_quantity) AS m1, var_pop(l_quantity) + 1e-9 AS v1, avg(l_discount) AS m2, var_pop(l_discount) + 1e-9 AS v2 FROM lineitem GROUP BY 1),
-q AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, c, round(ln(p) - 0.5 * ln(2 * pi() * v1) - (l_quantity - m1)**2 / (2 * v1) - 0.5 * ln(2 * pi() * v2) - (l_discount - m2)**2 / (2 * v2), 10) AS s FROM lineitem, s)
-SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, c AS prediction FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber, l_partkey, l_suppkey ORDER BY s DESC, c) AS r FROM q) WHERE r = 1""")
+li AS (SELECT *, row_number() OVER () AS rid FROM lineitem), q AS (SELECT rid, l_orderkey, l_linenumber, l_partkey, l_suppkey, c, round(ln(p) - 0.5 * ln(2 * pi() * v1) - (l_quantity - m1)**2 / (2 * v1) - 0.5 * ln(2 * pi() * v2) - (l_discount - m2)**2 / (2 * v2), 10) AS s FROM li, s)
+SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, c AS prediction FROM (SELECT *, row_number() OVER (PARTITION BY rid ORDER BY s DESC, c) AS r FROM q) WHERE r = 1""")
 def gaussian_nb_predict(spark, sf):
     df = load(spark, sf, "lineitem")
     return models.GaussianNB(["l_quantity", "l_discount"], "l_returnflag").fit(df).predict(df).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "prediction")
