@@ -139,3 +139,32 @@ class SimpleImputer(_Fitted):
 
     def transform(self, df: DataFrame) -> DataFrame:
         return df.withColumns({c: F.coalesce(clean(c), F.lit(v)) for c, (v,) in self._need().items()})
+
+
+class Pipeline(_Fitted):
+    """Transformers and at most one model at the end, fitted one after the other; every step is a projection of the next."""
+
+    def __init__(self, steps: list[tuple[str, object]]):
+        names = [n for n, _ in steps]
+        if len(set(names)) != len(names):
+            raise InvalidParameter("steps", "names must differ")
+        self.steps = steps
+
+    def fit(self, df: DataFrame) -> Pipeline:
+        for k, (_, step) in enumerate(self.steps):
+            if hasattr(step, "fit"):
+                step.fit(df)
+            if k + 1 < len(self.steps) or hasattr(step, "transform"):
+                df = step.transform(df)
+        self.params = {}
+        return self
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        self._need()
+        for _, step in self.steps:
+            if hasattr(step, "transform"):
+                df = step.transform(df)
+        return df
+
+    def predict(self, df: DataFrame) -> DataFrame:
+        return self.steps[-1][1].predict(self.transform(df))

@@ -164,3 +164,14 @@ def test_arrays(spark):
     r = df.select(scalar.dot(a, b).alias("dot"), scalar.add(a, b).alias("add"), scalar.divide(a, b).alias("div"), scalar.matmul(m, scalar.transpose(m)).alias("mm"), scalar.trace(scalar.eye(3)).alias("tr"), scalar.softmax(a).alias("sm"), scalar.argmax(a).alias("am"), scalar.reshape(a, 3, 1).alias("rs"), scalar.polynomial_kernel(a, b, 2, 1.0).alias("pk")).first()
     assert r.dot == 32 and r["add"] == [5, 7, 9] and r.div == [0.25, 0.4, 0.5] and r.mm == [[14, 32], [32, 77]]
     assert r.tr == 3 and sum(r.sm) == pytest.approx(1) and r.am == 2 and r.rs == [[1], [2], [3]] and r.pk == 33**2
+
+
+def test_pipeline_of_steps(spark):
+    from statloom.operators.models import GaussianNB
+
+    df = spark.createDataFrame([(float(i), i % 2 * 10.0 + i % 3, i % 2) for i in range(30)] + [(None, 11.0, 1)], "a double, b double, y int")
+    p = preprocess.Pipeline([("fill", preprocess.SimpleImputer(["a"])), ("scale", preprocess.StandardScaler(["a", "b"])), ("model", GaussianNB(["b"], "y"))])
+    with pytest.raises(NotFitted):
+        p.transform(df)
+    out = p.fit(df).predict(df)
+    assert out.where("prediction <> y").count() == 0 and out.where("a is null").count() == 0
