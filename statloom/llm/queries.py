@@ -70,7 +70,7 @@ def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return maskedlm.score(docs, maskedlm.fit(docs))
+    return maskedlm.fit_score(docs)
 
 
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -183,6 +184,36 @@ def test_language_model(spark):
     assert seen > mixed.mean_log_prob - 0.2 and seen > -np.log(maskedlm.CLASSES)
 
 
+def test_language_model_of_words(spark):
+    """Words of one class differ by their counts, and probabilities of all words sum to one, wherever counts are looked up."""
+    r = random.Random(8)
+    rows = [(i, " ".join("v%d" % int(r.paretovariate(0.7)) for _ in range(r.randint(0, 60)))) for i in range(150)] + [(None, "v1 zz1"), (None, "v1 zz1"), (900, None), (901, " ")]
+    docs = frame(spark, rows)
+    top, logp = maskedlm.fit(docs)
+    n = Counter(w for _, t in rows for w in words(t))
+    code = lambda ws: np.array([maskedlm.K.spans(np.frombuffer(w.encode(), np.uint8), np.array([0]), np.array([len(w)]))[0] for w in ws])
+    kind = dict(zip(n, maskedlm.classes(code(n), top).tolist(), strict=True))
+    total = Counter()
+    for w, c in n.items():
+        total[kind[w]] += c
+    inside = {w: 0.0 if kind[w] < maskedlm.TOP else float(np.log(c / (total[kind[w]] + 1))) for w, c in n.items()}
+    assert len({round(v, 9) for w, v in inside.items() if kind[w] >= maskedlm.TOP}) > 20 < len(n) - maskedlm.TOP
+    want = []
+    for i, t in rows:
+        data = np.frombuffer((t or "").encode(), np.uint8)
+        cell, _ = maskedlm.cells(data, np.array([0, len(data)]), top)
+        want.append((str(i), len(cell), logp[cell].astype(float).sum() + sum(inside[w] for w in words(t))))
+    counts = maskedlm.word_counts(docs)
+    for head in (10**6, 12, 0):
+        model = maskedlm.fit_words(counts, top, head)
+        assert (model.rest is None) == (head == 10**6) and len(model.head) <= head
+        got = sorted((str(x.doc_id), x.n_tokens, x.log_prob) for x in maskedlm.score(docs.repartition(3), (top, logp), model).collect())
+        assert [g[:2] for g in got] == [x[:2] for x in sorted(want)] and np.allclose([g[2] for g in got], [x[2] for x in sorted(want)], atol=1e-6)
+    registered = sorted((str(x.doc_id), x.n_tokens, x.log_prob) for x in maskedlm.fit_score(docs).collect())
+    assert np.allclose([g[2] for g in registered], [x[2] for x in sorted(want)], atol=1e-4)
+    assert maskedlm.fit_score(docs.limit(0)).count() == 0
+
+
 def test_pipeline_stages(spark, tmp_path):
     import corpus_pipeline
 
