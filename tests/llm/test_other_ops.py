@@ -130,6 +130,29 @@ def test_licenses(spark):
     assert license_scan.scan(frame(spark, rows).limit(0)).count() == 0
 
 
+def test_licenses_over_lines(spark):
+    """Full licences and wrapped headers in the midst of other text, which no line and no whole text resembles."""
+    import textwrap
+
+    full = dict(license_scan.texts())
+    notes = [t for _, t in license_scan.TEMPLATES]
+    prose = " ".join("word%d" % x for x in random.Random(3).choices(range(50), k=80))
+    rows = [
+        (1, "MIT License\n\nCopyright (c) 2020 Jane Doe\n\n" + full["MIT"], "MIT"),
+        (2, prose + "\n" + "\n".join(textwrap.wrap(full["MIT"], 78)) + "\n" + prose, "MIT"),
+        (3, prose + "\n" + "\n".join("# " + x for x in textwrap.wrap(notes[6], 70)) + "\n" + prose, "GPL-3.0"),
+        (4, "Copyright 2020 Jane Doe. Licensed under CC BY 4.0.", "CC-BY-4.0"),
+        (5, prose + "\n" + full["BSD-3-Clause"] + "\n" + prose, "BSD-3-Clause"),
+        (6, "\n".join(textwrap.wrap(full["BSD-2-Clause"], 60)), "BSD-2-Clause"),
+        (7, prose + "\n" + "\n".join(textwrap.wrap(dict(license_scan.HEADERS)["GPL-2.0"], 50)) + "\n" + prose, "GPL-2.0"),
+        (8, prose + "\nfree of charge\n" + prose, None),
+        (9, prose + "\n" + full["CC0-1.0"] + "\n" + prose, "CC0-1.0"),
+    ]
+    got = {r.doc_id: (r.license, r.dice) for r in license_scan.scan(frame(spark, [x[:2] for x in rows])).collect()}
+    assert {i: got[i][0] for i, _, _ in rows} == {i: n for i, _, n in rows}
+    assert all((got[i][1] >= 0.8) == (n is not None) for i, _, n in rows) and got[4][1] == 1.0
+
+
 def test_toxicity_held_out(spark):
     r = random.Random(4)
     bad = ["zorgling", "flarnish"]
