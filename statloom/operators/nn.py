@@ -184,7 +184,7 @@ class Dense:
 
 
 class Sequential:
-    """Mean squared error; trained on a bounded driver-side sample, applied to frames batch by batch."""
+    """Mean squared error; trained on arrays, or on all rows of a frame; applied to frames batch by batch."""
 
     def __init__(self, layers: list[Dense], optimizer: dict | None = None):
         self.layers, self.options = layers, optimizer or {"kind": "adam", "rate": 0.01}
@@ -209,6 +209,46 @@ class Sequential:
             losses.append(float(((self.forward(x) - y) ** 2).mean()))
         return losses
 
+    def fit_frame(self, df: DataFrame, features: str, target: str, epochs: int = 100) -> list[float]:
+        """Gradient steps over all rows without missing values: tasks return sums of gradients, the driver adds and steps. Losses before each step."""
+        rows = df.select(F.col(features).cast("array<double>").alias("x"), F.col(target).cast("double").alias("y")).where("x is not null and y is not null and not isnan(y)")
+        opts = [(Optimizer(**self.options), Optimizer(**self.options)) for _ in self.layers]
+        losses = []
+        for _ in range(epochs):
+            layers = self.layers
+
+            def run(batches, layers=layers):
+                total, n, loss = None, 0, 0.0
+                for pdf in batches:
+                    if not len(pdf):
+                        continue
+                    out = np.stack(pdf["x"].to_numpy())
+                    for layer in layers:
+                        out = layer.forward(out)
+                    g = out - pdf["y"].to_numpy().reshape(len(pdf), -1)
+                    n, loss = n + len(pdf), loss + float((g * g).sum())
+                    g, grads = 2 * g, []
+                    for layer in reversed(layers):
+                        g = layer.backward(g)
+                        grads += [layer.gw.ravel(), layer.gb]
+                    flat = np.concatenate(grads)
+                    total = flat if total is None else total + flat
+                if n:
+                    yield pd.DataFrame({"n": [n], "loss": [loss], "g": [total]})
+
+            got = rows.mapInPandas(run, "n long, loss double, g array<double>").toPandas()
+            n = got["n"].sum()
+            if not n:
+                break
+            losses.append(float(got["loss"].sum() / n))
+            g, at = np.sum(np.stack(got["g"].to_numpy()), axis=0) / n, 0
+            for layer, (ow, ob) in zip(reversed(self.layers), reversed(opts), strict=True):
+                gw = g[at : at + layer.w.size].reshape(layer.w.shape)
+                gb = g[at + layer.w.size : at + layer.w.size + layer.b.size]
+                at += layer.w.size + layer.b.size
+                layer.w, layer.b = ow.step(layer.w, gw), ob.step(layer.b, gb)
+        return losses
+
     def predict(self, df: DataFrame, features: str, name: str = "prediction") -> DataFrame:
         model = self
 

@@ -131,8 +131,6 @@ def optimizers(spark, sf):
 @query()
 def networks(spark, sf):
     e = load(spark, sf, "embeddings")
-    rows = e.orderBy("vec_id").limit(200).collect()
-    x, y = np.array([r["embedding"] for r in rows], float), np.array([r["label"] for r in rows], float) / 10
     net = nn.Sequential([nn.Dense(64, 8, "tanh"), nn.Dense(8, 1)])
-    net.fit(x, y, epochs=5)
+    net.fit_frame(e.withColumn("y", F.col("label") / 10), "embedding", "y", epochs=35)
     return net.predict(e.select("vec_id", "embedding"), "embedding").select("vec_id", "prediction")

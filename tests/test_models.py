@@ -285,3 +285,28 @@ def test_streams(spark, tmp_path):
     assert [(len(r.s), r.n) for r in last] == [(10, 300), (10, 300)]
     m = events.run_available(events.running_moments(s, "event_type"), spark, "w3", f"{tmp_path}/c3")
     assert {r.n for r in m.collect()} == {300}
+
+
+def test_network_learns_from_all_rows(spark):
+    """Steps over a frame are steps over all its rows, the last ones too, whatever the partitions."""
+    rows = [(i, [float(i % 7), 1.0 if i >= 300 else 0.0], 1.0 if i >= 300 else 0.0) for i in range(400)]
+    df = spark.createDataFrame([*rows, (400, None, 1.0), (401, [0.0, 0.0], None)], "id long, x array<double>, y double")
+    make = lambda: nn.Sequential([nn.Dense(2, 4, "tanh"), nn.Dense(4, 1)], {"kind": "adam", "rate": 0.05})
+    one, two, local = make(), make(), make()
+    one.fit_frame(df.repartition(1), "x", "y", epochs=12)
+    two.fit_frame(df.repartition(5), "x", "y", epochs=12)
+    local.fit(np.array([r[1] for r in rows]), np.array([r[2] for r in rows]), epochs=12, batch=400)
+    for a, b, c in zip(one.layers, two.layers, local.layers, strict=True):
+        assert np.allclose(a.w, b.w) and np.allclose(a.w, c.w) and np.allclose(a.b, c.b)
+
+
+def test_network_query_reads_every_row(spark, tmp_path):
+    """Rows beyond the first 200 ids change the model."""
+    from statloom.plans import catalogue
+
+    out = []
+    for late in (0, 9):
+        rows = [(i, [float((i * j) % 5) for j in range(64)], 1 if i < 200 else late) for i in range(260)]
+        spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/{late}/embeddings.parquet")
+        out.append({r.vec_id: r.prediction[0] for r in catalogue.queries()["networks"](spark, f"{tmp_path}/{late}").collect()})
+    assert len(out[0]) == 260 and max(abs(out[0][i] - out[1][i]) for i in out[0]) > 1e-3
