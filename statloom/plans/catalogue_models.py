@@ -253,25 +253,19 @@ def dbscan_counts(spark, sf):
     return out.agg(F.count_if("is_core").alias("cores"), F.count_if(F.col("cluster") == -1).alias("noise"))
 
 
-def _nations(spark, sf):
-    """25 points: methods of quadratic memory work on aggregates of whole tables."""
-    c = load(spark, sf, "customer").groupBy("c_nationkey").agg(F.avg("c_acctbal").alias("a"), F.stddev_samp("c_acctbal").alias("b"), F.count("*").alias("n"))
-    return c.select(F.col("c_nationkey").alias("id"), F.array(F.col("a") / 1000, F.col("b") / 1000, F.col("n") / 100.0).alias("x"))
-
-
 @query()
 def hierarchical(spark, sf):
-    return cluster.hierarchical(_nations(spark, sf), "id", "x", 5, "ward")
+    return cluster.hierarchical(load(spark, sf, "embeddings"), "vec_id", "embedding", 5, "ward")
 
 
 @query()
 def mean_shift(spark, sf):
-    return cluster.mean_shift(_nations(spark, sf), "id", "x", 0.5, 50)
+    return cluster.mean_shift(load(spark, sf, "embeddings"), "vec_id", "embedding", 0.5, 50)
 
 
 @query()
 def spectral(spark, sf):
-    return cluster.spectral(_nations(spark, sf), "id", "x", 4)
+    return cluster.spectral(load(spark, sf, "embeddings"), "vec_id", "embedding", 4)
 
 
 @query()
@@ -282,12 +276,12 @@ def pca(spark, sf):
 
 @query()
 def tsne(spark, sf):
-    return decomposition.tsne(_nations(spark, sf), "id", "x", perplexity=5, steps=200)
+    return decomposition.tsne(load(spark, sf, "embeddings"), "vec_id", "embedding", perplexity=5, steps=200)
 
 
 @query()
 def umap(spark, sf):
-    return decomposition.umap(_nations(spark, sf), "id", "x", neighbours=5)
+    return decomposition.umap(load(spark, sf, "embeddings"), "vec_id", "embedding", neighbours=5)
 
 
 # resampling

@@ -310,3 +310,13 @@ def test_network_query_reads_every_row(spark, tmp_path):
         spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/{late}/embeddings.parquet")
         out.append({r.vec_id: r.prediction[0] for r in catalogue.queries()["networks"](spark, f"{tmp_path}/{late}").collect()})
     assert len(out[0]) == 260 and max(abs(out[0][i] - out[1][i]) for i in out[0]) > 1e-3
+
+
+@pytest.mark.parametrize("name", ["hierarchical", "mean_shift", "spectral", "tsne", "umap"])
+def test_small_methods_take_all_embeddings(spark, name):
+    """Every row of the table has a result."""
+    from statloom.plans import catalogue
+
+    sf = "/root/testdata/sf0.001"
+    ids = sorted(r.vec_id for r in spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id").collect())
+    assert sorted(r.id for r in catalogue.queries()[name](spark, sf).collect()) == ids
