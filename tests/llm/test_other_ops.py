@@ -9,11 +9,12 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from statloom.llm import bpe, license_scan, maskedlm, toxicity, warc
 from statloom.llm.queries import vocabulary_path
 
-from .helpers import corpus, frame, sha, words
+from .helpers import corpus, frame, lower, sha, words
 
 tokenizers = pytest.importorskip("tokenizers")
 
@@ -182,60 +183,104 @@ def test_toxicity_without_data(spark):
     assert toxicity.score(docs.limit(0), toxicity.fit(docs.limit(0), none)).count() == 0
 
 
+SMALL = maskedlm.Shape(clusters=3, slots=4, tails=5, endings=16, reach=2, width=6)
+
+
+def lm_brute(model, counts, total, text):
+    """Sum of the log-probabilities of a text's words, one at a time in plain Python. counts: of all words of the corpus."""
+    s, w = model.shape, model.shape.width
+    code = lambda x, base, mod: int(maskedlm.K.spans(np.frombuffer(x.encode(), np.uint8), np.array([max(0, len(x.encode()) - base)]), np.array([len(x.encode())]))[0]) % mod
+    full = lambda x: int(maskedlm.K.spans(np.frombuffer(x.encode(), np.uint8), np.array([0]), np.array([len(x.encode())])).view(np.int64)[0])
+    rank = dict(zip(model.head.tolist(), model.rank.tolist(), strict=True))
+    ws = [lower(x) for x in words(text)]
+    row = [rank.get(full(x), s.head + code(x, 3, s.endings)) for x in ws]
+    out = 0.0
+    mix, first, second = (model.view(n).astype(float) for n in ("mix", "first", "second"))
+    for i, x in enumerate(ws):
+        around = [row[i + o] if 0 <= i + o < len(ws) else s.edge for o in (-2, -1, 1, 2)]
+        h = np.tanh(sum(model.view("inputs")[r].astype(float) @ mix[p * w : (p + 1) * w] for p, r in enumerate(around)) + model.view("offset")[0])
+        z = first @ h + model.bias("first")
+        p1 = np.exp(z) / np.exp(z).sum()
+        if full(x) in rank:
+            c, k = divmod(rank[full(x)], s.slots)
+            z = second[c * s.slots : (c + 1) * s.slots] @ h + model.bias("second")[c * s.slots : (c + 1) * s.slots]
+            out += np.log(p1[c]) + np.log(np.exp(z) / np.exp(z).sum())[k]
+        else:
+            t = code(x, 2, s.tails)
+            out += np.log(p1[s.clusters + t]) + np.log(counts.get(x, 1) / (total[t] + 1))
+    return out
+
+
 def test_language_model(spark):
-    rows = [*corpus(6, 80), (None, "w1 w2 w3"), (7, "w1 w2")]
+    rows = [*corpus(6, 80), (None, "w1 w2 w3"), (948, "w1 w2"), (948, "w1 w2"), (949, "unheard of, \U0001f600"), (950, "w3 w5 w1 " * 40_000)]
     docs = frame(spark, rows)
-    top, logp = maskedlm.fit(docs)
-    table = np.exp(logp.reshape(maskedlm.SIDE, maskedlm.SIDE, maskedlm.CLASSES).astype(float))
-    assert np.allclose(table.sum(-1), 1, atol=1e-4)
-    got = maskedlm.score(docs, (top, logp)).collect()
-    for r in got:
-        assert (r.mean_log_prob is None) == (r.n_tokens == 0)
-    by = {r.doc_id: r for r in got if r.doc_id is not None}
-    for i, t in rows:
-        if i in (7, None):
-            continue
-        data = np.frombuffer((t or "").encode(), np.uint8)
-        cell, _ = maskedlm.cells(data, np.array([0, len(data)]), top)
-        assert len(cell) == len(words(t)) == by[i].n_tokens and abs(logp[cell].astype(float).sum() - by[i].log_prob) < 1e-6
-    other = maskedlm.fit(docs.repartition(7))
-    assert (other[0] == top).all() and np.allclose(other[1], logp, atol=1e-5)
-    uniform = maskedlm.fit(docs.limit(0))
-    assert np.allclose(np.exp(uniform[1]), 1 / maskedlm.CLASSES, rtol=0.5)
-    seen = np.mean([r.mean_log_prob for r in got if r.n_tokens])
-    mixed = maskedlm.score(frame(spark, [(1, " ".join(random.Random(2).choices(words(" ".join(t or "" for _, t in rows)), k=400)))]), (top, logp)).first()
-    assert seen > mixed.mean_log_prob - 0.2 and seen > -np.log(maskedlm.CLASSES)
-
-
-def test_language_model_of_words(spark):
-    """Words of one class differ by their counts, and probabilities of all words sum to one, wherever counts are looked up."""
-    r = random.Random(8)
-    rows = [(i, " ".join("v%d" % int(r.paretovariate(0.7)) for _ in range(r.randint(0, 60)))) for i in range(150)] + [(None, "v1 zz1"), (None, "v1 zz1"), (900, None), (901, " ")]
+    n = Counter(lower(w) for _, t in rows for w in words(t))
+    for most in (maskedlm.HEAD, 20, 0):  # all counts broadcast, some, none
+        model, known = maskedlm.fit(docs, shape=SMALL, rate=2, rounds=2, most=most)
+        assert (known.rest is not None) == (most < 80)
+        total = np.rint(np.exp(known.log_total) - 1)
+        assert total.sum() + sum(c for _, c in sorted(n.items(), key=lambda x: -x[1])[: SMALL.head]) == sum(n.values())
+        got = maskedlm.score(docs.repartition(5), model, known).collect()
+        assert len(got) == len(rows) and all((r.mean_log_prob is None) == (r.n_tokens == 0) for r in got)
+        by = {r.doc_id: r for r in got}
+        for i, t in rows:
+            if i is not None and i != 950:
+                assert by[i].n_tokens == len(words(t)) and abs(by[i].log_prob - lm_brute(model, n, total, t)) < 1e-3 * (1 + len(words(t)))
+        assert by[950].n_tokens == 120_000 and by[950].mean_log_prob > -6
+        if most == maskedlm.HEAD:
+            other, _ = maskedlm.fit(docs.repartition(7), shape=SMALL, rate=2, rounds=2)
+            assert (other.head == model.head).all() and np.allclose(other.params, model.params, atol=1e-3)
+
+
+def test_language_model_sums_to_one_and_learns(spark):
+    r = random.Random(4)
+    pairs = [("a", "b"), ("c", "d"), ("e", "f"), ("g", "h")]
+    rows = [(i, " ".join(x for _ in range(60) for x in r.choice(pairs))) for i in range(150)]
     docs = frame(spark, rows)
-    top, logp = maskedlm.fit(docs)
-    n = Counter(w for _, t in rows for w in words(t))
-    code = lambda ws: np.array([maskedlm.K.spans(np.frombuffer(w.encode(), np.uint8), np.array([0]), np.array([len(w)]))[0] for w in ws])
-    kind = dict(zip(n, maskedlm.classes(code(n), top).tolist(), strict=True))
-    total = Counter()
-    for w, c in n.items():
-        total[kind[w]] += c
-    inside = {w: 0.0 if kind[w] < maskedlm.TOP else float(np.log(c / (total[kind[w]] + 1))) for w, c in n.items()}
-    assert len({round(v, 9) for w, v in inside.items() if kind[w] >= maskedlm.TOP}) > 20 < len(n) - maskedlm.TOP
-    want = []
-    for i, t in rows:
-        data = np.frombuffer((t or "").encode(), np.uint8)
-        cell, _ = maskedlm.cells(data, np.array([0, len(data)]), top)
-        want.append((str(i), len(cell), logp[cell].astype(float).sum() + sum(inside[w] for w in words(t))))
-    counts = maskedlm.word_counts(docs)
-    for head in (10**6, 12, 0):
-        model = maskedlm.fit_words(counts, top, head)
-        assert (model.rest is None) == (head == 10**6) and len(model.head) <= head
-        got = sorted((str(x.doc_id), x.n_tokens, x.log_prob) for x in maskedlm.score(docs.repartition(3), (top, logp), model).collect())
-        assert [g[:2] for g in got] == [x[:2] for x in sorted(want)] and np.allclose([g[2] for g in got], [x[2] for x in sorted(want)], atol=1e-6)
-    registered = sorted((str(x.doc_id), x.n_tokens, x.log_prob) for x in maskedlm.fit_score(docs).collect())
-    assert np.allclose([g[2] for g in registered], [x[2] for x in sorted(want)], atol=1e-4)
-    assert maskedlm.fit_score(docs.limit(0)).count() == 0
-
+    counts = maskedlm.word_counts(docs, tails=SMALL.tails)
+    untrained, tail, total = maskedlm.unigram(counts, SMALL)
+    trained, known = maskedlm.fit(docs, shape=SMALL, rate=2, rounds=4)
+    assert total == 150 * 120 and tail.sum() == 0
+    window = np.random.RandomState(0).randint(0, SMALL.edge + 1, (30, 4))
+    for model in (untrained, trained):
+        every = sum(np.exp(model.log_probs(window, np.full(30, t))) for t in [*range(8), *range(SMALL.head, SMALL.head + SMALL.tails)])
+        assert np.allclose(every, 1, atol=1e-3)
+    mean = lambda m: maskedlm.score(docs, m, known).agg(F.sum("log_prob") / F.sum("n_tokens")).first()[0]
+    assert abs(mean(untrained) + np.log(8)) < 0.02 and mean(trained) > -1.6  # the neighbour tells which word it is, the pair is one of four
+
+
+def test_gradient_of_the_network():
+    """One step of plain Python differences against steps()."""
+    s, rng = SMALL, np.random.RandomState(3)
+    rows = s.parts()["second"].stop
+    params = np.abs(rng.normal(0, 0.4, (rows, s.width + 2))).astype(np.float32)
+    model = maskedlm.Model(s, np.arange(s.head), np.arange(s.head), params)
+    windows = np.concatenate((rng.randint(0, s.edge + 1, (20, 4)), rng.randint(0, s.head + s.tails, (20, 1))), axis=1).astype(np.int32)
+    after, touched = maskedlm.steps(model, windows, batch=20, rate=1e-3)
+    assert (after[~touched] == params[~touched]).all()
+
+    def loss(p):
+        return -maskedlm.Model(s, model.head, model.rank, p).log_probs(windows[:, :-1], windows[:, -1]).astype(float).sum()
+
+    for row in [*rng.choice(rows, 12, replace=False), s.parts()["offset"].start, s.parts()["first"].start + 1]:
+        for col in (0, s.width):
+            if col == s.width and row < s.parts()["first"].start:
+                continue
+            up, down = params.copy(), params.copy()
+            up[row, col] += 0.02
+            down[row, col] -= 0.02
+            g = (loss(up) - loss(down)) / 0.04
+            moved = -(after[row, col] - params[row, col]) * np.sqrt(after[row, -1]) / 1e-3
+            assert abs(g - moved) < 0.02 + 0.05 * abs(g)
+
+
+def test_language_model_of_nothing(spark):
+    empty = frame(spark, [(1, "a")]).limit(0)
+    assert maskedlm.fit_score(empty).count() == 0
+    model, known = maskedlm.fit(empty, shape=SMALL)
+    got = maskedlm.score(frame(spark, [(1, "x y"), (2, None)]), model, known).collect()
+    assert sorted((r.doc_id, r.n_tokens, round(r.log_prob, 3)) for r in got) == [(1, 2, round(-2 * np.log(5), 3)), (2, 0, 0.0)]
+    assert maskedlm.fit_score(frame(spark, [(1, None), (2, "")])).count() == 2
 
 def test_pipeline_stages(spark, tmp_path):
     import corpus_pipeline
