@@ -183,6 +183,55 @@ def test_toxicity_without_data(spark):
     assert toxicity.score(docs.limit(0), toxicity.fit(docs.limit(0), none)).count() == 0
 
 
+def test_toxicity_risk_and_gradient():
+    """The risk from its definition, one text at a time, and its gradient by differences, on both sides of the clamp."""
+    rng = np.random.RandomState(5)
+    xp, xu = (rng.rand(7, 4) < 0.6).astype(np.float32), (rng.rand(11, 4) < 0.3).astype(np.float32)
+    sides = set()
+    for prior in (0.1, 0.5, 0.95):
+        for scale in (0.3, 3.0):
+            w, bias = rng.normal(0, scale, 4), float(rng.normal(0, scale))
+            good = lambda x, w, b: np.log(1 + np.exp(-(sum(a * c for a, c in zip(x, w, strict=True)) + b)))
+            bad = lambda x, w, b: np.log(1 + np.exp(sum(a * c for a, c in zip(x, w, strict=True)) + b))
+            positive = lambda w, b: prior * np.mean([good(x, w, b) for x in xp])  # noqa: B023, E731
+            negative = lambda w, b: np.mean([bad(x, w, b) for x in xu]) - prior * np.mean([bad(x, w, b) for x in xp])  # noqa: B023, E731
+            value, grad = toxicity.risk(xp, xu, prior, w, bias)
+            n = negative(w, bias)
+            assert abs(value - positive(w, bias) - max(0, n)) < 1e-6
+            whole = (lambda w, b: positive(w, b) + negative(w, b)) if n >= 0 else (lambda w, b: -negative(w, b))  # noqa: B023
+            sides.add(n >= 0)
+            for k in range(4):
+                e = np.eye(4)[k] * 1e-4
+                assert abs((whole(w + e, bias) - whole(w - e, bias)) / 2e-4 - grad[k]) < 1e-5
+            assert abs((whole(w, bias + 1e-4) - whole(w, bias - 1e-4)) / 2e-4 - grad[4]) < 1e-5
+    assert sides == {True, False}
+
+
+def test_toxicity_shards_average(spark, monkeypatch):
+    """Many shards: their mean weights, computed apart; repeated rows count once; long texts and ties do no harm."""
+    monkeypatch.setattr(toxicity, "SHARD", 40)
+    r = random.Random(9)
+    rows = [(i, " ".join([*(f"w{r.randrange(50)}" for _ in range(20)), *(["vile", "foul"] if i % 5 == 0 else [])])) for i in range(400)]
+    lab = spark.createDataFrame([(i, int(i % 5 == 0)) for i in range(0, 400, 2)], "doc_id long, toxic int")
+    docs = frame(spark, [*rows, *rows[:30], (7000, "w1 " * 100_000), (None, "vile")])
+    model = toxicity.fit(docs, lab, rounds=1)
+    assert len(model.kept) >= 2
+    code = lambda t: toxicity._distinct(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t.encode())]), model.kept)[1]
+    every = [*rows, (7000, "w1 " * 100_000)]
+    keys = {x.doc_id: x.k for x in docs.where("doc_id is not null").select("doc_id", F.xxhash64("doc_id", "text").alias("k")).distinct().collect()}
+    shards = {}
+    for i, t in every:
+        n = round(431 / 40)
+        shards.setdefault(int(toxicity.K.mix(np.array([keys[i]]).view(np.uint64))[0]) % n, []).append((keys[i], t))
+    matrix = lambda ts: np.array([[k in code(t) for k in range(len(model.kept))] for t in ts], np.float32)
+    xp = matrix([t for i, t in rows if i % 10 == 0])
+    start = np.append(np.zeros(len(model.kept)), np.log(0.2 / 0.8))
+    apart = [toxicity.descend(xp, matrix([t for _, t in sorted(s)]), 0.2, start, 0.2 / len(xp), steps=50) for s in shards.values()]
+    assert len(apart) > 5 and np.allclose(np.mean(apart, axis=0), np.append(model.weight, model.bias), atol=1e-4)
+    got = {x.doc_id: x.score for x in toxicity.score(docs, model).collect()}
+    assert min(got[i] for i, _ in rows if i % 5 == 0) > 0.3 > max(got[i] for i, _ in rows if i % 5)
+
+
 SMALL = maskedlm.Shape(clusters=3, slots=4, tails=5, endings=16, reach=2, width=6)
 
 
