@@ -42,3 +42,18 @@ def ratio(a: Column, b: Column) -> Column:
 
 def safe(name: str) -> str:
     return name.replace(".", "_")
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """df written to the shared checkpoint folder: it is evaluated once, and a lost executor does not change it.
+
+    The folder is spark.checkpoint.dir; only where that is unset (local tests) one of this machine stands in.
+    """
+    spark = df.sparkSession
+    if not spark.conf.get("spark.checkpoint.dir", None):
+        import tempfile
+
+        spark.conf.set("spark.checkpoint.dir", "file://" + tempfile.mkdtemp(prefix="statloom-"))
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir"))
+    return df.checkpoint()

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import InvalidParameter
+from ..frames import cut_lineage
 from ..functions.scalar import euclidean
 
 #: Rows that a method of quadratic memory accepts.
@@ -92,34 +93,22 @@ def within(df: DataFrame, id_column: str, features: str, eps: float) -> DataFram
 
 def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """id, root (the smallest id reachable) for nodes (id) and edges (i, j): labels spread and jump until none changes."""
-    spark = nodes.sparkSession
-    both = edges.select("i", "j").union(edges.select(F.col("j"), F.col("i"))).distinct().persist()
+    both = cut_lineage(edges.select("i", "j").union(edges.select(F.col("j"), F.col("i"))).distinct())
     state = nodes.select("id", F.col("id").alias("root"))
     while True:
         near = both.join(state, F.col("j") == F.col("id")).groupBy("i").agg(F.min("root").alias("m"))
         new = state.join(near, F.col("id") == F.col("i"), "left").select("id", F.col("root").alias("old"), F.least("root", F.coalesce("m", "root")).alias("root"))
         jump = new.select(F.col("id").alias("r"), F.col("root").alias("rr"))
         new = new.join(jump, F.col("root") == F.col("r")).select("id", "old", F.col("rr").alias("root"))
-        new = _cut(new, spark)
+        new = cut_lineage(new)
         if not new.where("root <> old").limit(1).count():
             return new.select("id", "root")
         state = new.select("id", "root")
 
 
-def _cut(df: DataFrame, spark: SparkSession) -> DataFrame:
-    """Lineage ends in the shared checkpoint folder."""
-    if not spark.conf.get("spark.checkpoint.dir", None):
-        import tempfile
-
-        spark.conf.set("spark.checkpoint.dir", "file://" + tempfile.mkdtemp(prefix="statloom-"))
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir"))
-    return df.checkpoint()
-
-
 def dbscan(df: DataFrame, id_column: str, features: str, eps: float, min_samples: int) -> DataFrame:
     """id, cluster (-1 noise, else from 0 by smallest core id), is_core. The count of neighbours leaves out the row itself; a border row joins the cluster of its smallest core."""
-    near = _cut(within(df, id_column, features, eps), df.sparkSession)
+    near = cut_lineage(within(df, id_column, features, eps))
     ids = df.select(F.col(id_column).alias("id"))
     core = near.groupBy("i").agg(F.count("*").alias("n")).where(F.col("n") >= min_samples).select(F.col("i").alias("core"))
     links = near.join(core, F.col("i") == F.col("core")).drop("core").join(core, F.col("j") == F.col("core")).drop("core")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..frames import clean, ratio
@@ -51,16 +51,19 @@ def permutation_test(df: DataFrame, column: str, first: Column, id_column: str,
     """Difference of means: observed, and the share of relabellings at least as far from 0.
 
     Rows where ``first`` holds are the first group. Each permutation orders all rows by a hash of (id, permutation);
-    the share of rows that get the first label is the group's size. Rows are repeated once per permutation and
-    ranked within it, so no permutation is held by one task's memory.
+    the share of rows that get the first label is the group's size. Rows are summed by permutation and leading bits of the hash;
+    only those of the one bucket in which the group ends, one in 4096 or so, are ranked.
     """
     x = df.select(F.col(id_column).alias("id"), clean(column).alias("x"), first.alias("g")).where("x is not null and g is not null")
     base = x.agg(F.count_if("g").alias("na"), F.count("*").alias("n"), (F.avg(F.when(F.col("g"), F.col("x"))) - F.avg(F.when(~F.col("g"), F.col("x")))).alias("observed"), F.sum("x").alias("total")).first()
-    from pyspark.sql import Window
-
     reps = x.withColumn("perm", F.explode(F.sequence(F.lit(1), F.lit(permutations))))
-    rank = F.row_number().over(Window.partitionBy("perm").orderBy(F.xxhash64("id", "perm", F.lit(seed)), "id"))
-    sums = reps.withColumn("r", rank).where(F.col("r") <= base["na"]).groupBy("perm").agg(F.sum("x").alias("s"))
+    reps = reps.withColumn("h", F.xxhash64("id", "perm", F.lit(seed))).withColumn("b", F.shiftright("h", 52))
+    upto = Window.partitionBy("perm").orderBy("b")
+    cells = reps.groupBy("perm", "b").agg(F.count("*").alias("n"), F.sum("x").alias("s")).withColumn("upto", F.sum("n").over(upto))
+    whole = cells.where(F.col("upto") <= base["na"]).select("perm", "s")
+    ends = cells.where((F.col("upto") > base["na"]) & (F.col("upto") - F.col("n") < base["na"])).select("perm", "b", (base["na"] - F.col("upto") + F.col("n")).alias("need"))
+    last = reps.join(F.broadcast(ends), ["perm", "b"]).withColumn("r", F.row_number().over(Window.partitionBy("perm").orderBy("h", "id")))
+    sums = whole.union(last.where("r <= need").select("perm", F.col("x").alias("s"))).groupBy("perm").agg(F.sum("s").alias("s"))
     na, nb = base["na"], base["n"] - base["na"]
     diff = F.col("s") / na - (F.lit(base["total"]) - F.col("s")) / nb
     return sums.agg(F.lit(base["observed"]).alias("observed"), F.avg(F.when(F.abs(diff) >= abs(base["observed"]), 1.0).otherwise(0.0)).alias("p_value"))

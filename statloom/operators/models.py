@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..errors import InvalidParameter
-from ..frames import check
+from ..frames import check, cut_lineage
 from ..functions.scalar import DISTANCES, linear_kernel, polynomial_kernel, rbf_kernel
 
 #: Rows of training points that may be broadcast for exact neighbour search; more are matched in blocks.
@@ -224,7 +224,7 @@ def stacked(df: DataFrame, id_column: str, bases: list, meta_fit, target: str, f
     """
     from .resample import kfold, split_fold
 
-    rows = kfold(df, id_column, folds).persist()
+    rows = cut_lineage(kfold(df, id_column, folds))
     out = None
     for i in range(folds):
         train, test = split_fold(rows, i)

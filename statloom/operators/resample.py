@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..errors import InvalidParameter
+from ..frames import cut_lineage
 from ..functions.scalar import euclidean
 
 
@@ -25,7 +26,7 @@ def numbered(df: DataFrame, order: list[str | Column], name: str = "rn") -> Data
     keys = [F.struct(*cols).alias("_k")]
     n = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     parts = df.select("*", *keys).repartitionByRange(n, "_k").sortWithinPartitions("_k").withColumn("_p", F.spark_partition_id())
-    parts = parts.persist()
+    parts = cut_lineage(parts)
     sizes = {r["_p"]: r["n"] for r in parts.groupBy("_p").agg(F.count("*").alias("n")).collect()}
     offsets, at = [], 0
     for p in range(max(sizes, default=0) + 1):

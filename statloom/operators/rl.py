@@ -4,25 +4,49 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def _backwards(df: DataFrame, by: str, order: str, fields: list[Column]) -> DataFrame:
-    return df.groupBy(by).agg(F.reverse(F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), *fields)))).alias("steps"))
+def _scan(gamma: float):
+    """Streams rows whose groups come whole, last step first: ret = r + gamma times the ret of the row before, but at a start."""
+
+    def run(batches):
+        carry = 0.0
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
+                continue
+            ret = batch.column("r").to_numpy(zero_copy_only=False).astype(float)
+            start = batch.column("start").to_numpy(zero_copy_only=False).astype(bool)
+            first = np.maximum.accumulate(np.where(start, np.arange(n), -1))
+            before = np.arange(n) - first
+            step = 1
+            while step < n:
+                at = np.flatnonzero((before >= step) & (np.arange(n) >= step))
+                if not len(at):
+                    break
+                ret[at] += gamma**step * ret[at - step]
+                step *= 2
+            open_ = np.flatnonzero(first < 0)
+            ret[open_] += gamma ** (open_ + 1.0) * carry
+            carry = float(ret[-1])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ret)], names=["by", "order", "ret"])
+
+    return run
 
 
 def discounted_returns(df: DataFrame, by: str, order: str, reward: str, gamma: float = 0.99, done: str | None = None) -> DataFrame:
-    """by, order, ret: reward plus gamma times what follows, starting anew after ``done``. An episode is one row's array."""
-    fields = [F.col(reward).cast("double").alias("r"), (F.col(done).cast("boolean") if done else F.lit(False)).alias("d")]
-    rows = _backwards(df, by, order, fields)
-    zero = F.struct(F.lit(0.0).alias("g"), F.array().cast(f"array<struct<o:{dict(df.dtypes)[order]},ret:double>>").alias("out"))
-
-    def move(s: Column, x: Column) -> Column:
-        g = x["r"] + F.when(x["d"], 0.0).otherwise(gamma * s["g"])
-        return F.struct(g.alias("g"), F.concat(s["out"], F.array(F.struct(x["o"].alias("o"), g.alias("ret")))).alias("out"))
-
-    return rows.select(by, F.explode(F.aggregate("steps", zero, move, lambda s: s["out"])).alias("x")).select(by, F.col("x.o").alias(order), "x.ret")
+    """by, order, ret: reward plus gamma times what follows, starting anew after ``done``.
+
+    One sort by (by, order); batches are scanned by doubling, so a long episode streams through its task.
+    """
+    last = F.row_number().over(Window.partitionBy(by).orderBy(F.desc(order))) == 1
+    start = last | F.coalesce(F.col(done).cast("boolean"), F.lit(False)) if done else last
+    rows = df.select(F.col(by).alias("by"), F.col(order).alias("order"), F.coalesce(F.col(reward).cast("double"), F.lit(0.0)).alias("r"), start.alias("start"))
+    kinds = dict(df.dtypes)
+    return rows.mapInArrow(_scan(gamma), f"by {kinds[by]}, order {kinds[order]}, ret double").toDF(by, order, "ret")
 
 
 def generalized_advantage(df: DataFrame, by: str, order: str, reward: str, value: str, gamma: float = 0.99, lam: float = 0.95, done: str | None = None) -> DataFrame:

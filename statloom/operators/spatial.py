@@ -1,11 +1,12 @@
-"""Spatial statistics over edge lists (i, j, w); never an n x n matrix."""
+"""Spatial statistics over edge lists (i, j, w); an n x n matrix only for the impacts of few regions."""
 
 from __future__ import annotations
 
-
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..frames import cut_lineage
 from ..functions.special import column as over
 from ..functions.special import normal_cdf
 from .cluster import within
@@ -115,15 +116,42 @@ class SpatialLag:
         z = [*self.x, *[f"w_{c}" for c in self.x], *[f"w_w_{c}" for c in self.x]]
         self.iv = TwoStageLeastSquares(self.y, [f"w_{self.y}", *self.x], z).fit(rows)
         self.rho, self.coef = self.iv.coef[f"w_{self.y}"], self.iv.coef
+        self.w, self.ids = w, df.select(self.id)
         return self
 
     def predict(self, df: DataFrame, w: DataFrame) -> DataFrame:
         return self.iv.predict(_lagged(df, w, self.id, [self.y]))
 
-    def impacts(self) -> dict[str, dict[str, float]]:
-        """Average total, direct and indirect effects for row-standardised weights, to second order in the direct part."""
-        total = {c: self.coef[c] / (1 - self.rho) for c in self.x}
-        return {c: {"direct": self.coef[c], "indirect": total[c] - self.coef[c], "total": total[c]} for c in self.x}
+    def impacts(self, w: DataFrame | None = None, *, exact: int = 2000, draws: int = 16, orders: int = 40) -> dict[str, dict[str, float]]:
+        """Average total, direct and indirect effects: b S for S = (I - rho W)^-1, its mean row sum and its mean diagonal.
+
+        Up to ``exact`` regions S is computed. Beyond, its mean diagonal is the sum of rho^k tr(W^k) / n with traces taken from
+        ``draws`` vectors of hashed signs, up to ``orders`` and only while rho^k matters; mean row sums come from W^k 1 alike.
+        """
+        w = self.w if w is None else w
+        ids = self.ids.select(F.col(self.id).alias("i"))
+        n = ids.count()
+        if n <= exact:
+            at = {r["i"]: k for k, r in enumerate(ids.orderBy("i").collect())}
+            dense = np.zeros((n, n))
+            for r in w.collect():
+                dense[at[r["i"]], at[r["j"]]] += r["w"]
+            inverse = np.linalg.inv(np.eye(n) - self.rho * dense)
+            own, row = float(np.trace(inverse)) / n, float(inverse.sum()) / n
+        else:
+            signs = [F.lit(1.0).alias("u0"), *[(F.pmod(F.xxhash64("i", F.lit(k)), F.lit(2)) * 2.0 - 1).alias(f"u{k}") for k in range(1, draws + 1)]]
+            start = ids.select("i", *signs)
+            names, now, own, row = [f"u{k}" for k in range(draws + 1)], start, 1.0, 1.0
+            for k in range(1, orders + 1):
+                if abs(self.rho) ** k < 1e-7:
+                    break
+                moved = w.join(now.withColumnRenamed("i", "j"), "j").groupBy("i").agg(*[F.sum(F.col("w") * F.col(c)).alias(c) for c in names])
+                now = cut_lineage(ids.join(moved, "i", "left").na.fill(0.0))
+                first = start.select("i", *[F.col(c).alias(f"s_{c}") for c in names])
+                got = now.join(first, "i").agg(F.avg("u0").alias("row"), *[F.avg(F.col(c) * F.col(f"s_{c}")).alias(c) for c in names[1:]]).first()
+                row += self.rho**k * got["row"]
+                own += self.rho**k * sum(got[c] for c in names[1:]) / draws
+        return {c: {"direct": self.coef[c] * own, "indirect": self.coef[c] * (row - own), "total": self.coef[c] * row} for c in self.x}
 
 
 def spatial_error(df: DataFrame, w: DataFrame, id_column: str, y: str, x: list[str], steps: int = 3) -> dict:

@@ -86,15 +86,24 @@ class ARIMA:
             self.ma = np.array([fit.coef[f"_e_lag{k}"] for k in range(1, self.q + 1)])
         return self
 
-    def forecast(self, df: DataFrame, h: int) -> list[float]:
-        """From the last p + d values of the series; innovations after the end count as 0."""
-        tail = [float(r[0]) for r in df.orderBy(F.desc(self.order)).limit(self.p + self.d + 1).select(F.col(self.column).cast("double")).collect()][::-1]
+    def forecast(self, df: DataFrame, h: int, memory: int = 1000) -> list[float]:
+        """From the last ``memory`` values: their innovations are filtered out one after the other (0 before them), later ones count as 0."""
+        most = max(memory if self.q else 0, self.p + 1) + self.d
+        tail = [float(r[0]) for r in df.orderBy(F.desc(self.order)).limit(most).select(F.col(self.column).cast("double")).collect()][::-1]
         levels = [np.array(tail)]
         for _ in range(self.d):
             levels.append(np.diff(levels[-1]))
-        z = list(levels[-1] - self.mean)
+        z, e = [], []
+
+        def expected() -> float:
+            return float(sum(a * v for a, v in zip(self.ar, z[::-1], strict=False)) + sum(m * v for m, v in zip(self.ma, e[::-1], strict=False)))
+
+        for v in (levels[-1] - self.mean).tolist():
+            e.append(v - expected() if len(z) >= self.p else 0.0)
+            z.append(v)
         for _ in range(h):
-            z.append(float(sum(a * v for a, v in zip(self.ar, z[::-1], strict=False))))
+            z.append(expected())
+            e.append(0.0)
         out = np.array(z[-h:]) + self.mean
         for level in levels[-2::-1]:
             out = level[-1] + np.cumsum(out)

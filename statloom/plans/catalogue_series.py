@@ -266,7 +266,7 @@ def spatial_models(spark, sf):
     w = spatial.row_standardize(w)
     sar = spatial.SpatialLag("x", ["z"], "id").fit(pts, w)
     err = spatial.spatial_error(pts, w, "id", "x", ["z"])
-    return one_row(spark, {"rho": sar.rho, "beta": sar.coef["z"], "total": sar.impacts()["z"]["total"], "lambda": err["lambda"], "error_beta": err["coef"]["z"]})
+    return one_row(spark, {"rho": sar.rho, "beta": sar.coef["z"], **{k: v for k, v in sar.impacts()["z"].items()}, "lambda": err["lambda"], "error_beta": err["coef"]["z"]})
 
 
 @query()

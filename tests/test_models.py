@@ -320,3 +320,63 @@ def test_small_methods_take_all_embeddings(spark, name):
     sf = "/root/testdata/sf0.001"
     ids = sorted(r.vec_id for r in spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id").collect())
     assert sorted(r.id for r in catalogue.queries()[name](spark, sf).collect()) == ids
+
+
+def test_arima_forecast_with_moving_average(spark):
+    """MA(1) with known parameters: the first forecast holds the last innovation, later ones are the mean; and an ARMA by hand."""
+    rng = np.random.RandomState(1)
+    e = rng.normal(size=400)
+    y = 5 + e[1:] + 0.6 * e[:-1]
+    df = spark.createDataFrame([(i, float(v)) for i, v in enumerate(y)], "t long, y double").repartition(3)
+    m = timeseries.ARIMA(0, 0, 1).fit(df, "y", "t")
+    assert 0.4 < m.ma[0] < 0.8
+    last = 0.0
+    for v in y:
+        last = v - m.mean - m.ma[0] * last
+    assert m.forecast(df, 3) == pytest.approx([m.mean + m.ma[0] * last, m.mean, m.mean])
+    m = timeseries.ARIMA(1, 1, 1)
+    m.column, m.order, m.mean, m.ar, m.ma = "y", "t", 0.5, np.array([0.3]), np.array([-0.2])
+    z, inno = list(np.diff(y) - 0.5), []
+    for k, v in enumerate(z):
+        inno.append(v - 0.3 * z[k - 1] + 0.2 * inno[k - 1] if k else 0.0)
+    one = 0.3 * z[-1] - 0.2 * inno[-1]
+    two = 0.3 * one
+    assert m.forecast(df, 2) == pytest.approx([y[-1] + 0.5 + one, y[-1] + 1.0 + one + two])
+
+
+def test_spatial_impacts(spark):
+    """Against the inverse matrix, exactly and by hashed signs."""
+    rng = np.random.RandomState(2)
+    n = 60
+    pairs = [(i, int(j)) for i in range(n) for j in rng.choice([k for k in range(n) if k != i], 3, replace=False)]
+    w = spark.createDataFrame([(i, j, 1 / 3) for i, j in pairs], "i long, j long, w double")
+    df = spark.createDataFrame([(i,) for i in range(n)], "id long")
+    sar = spatial.SpatialLag("y", ["x"], "id")
+    sar.rho, sar.coef, sar.w, sar.ids = 0.5, {"x": 2.0}, w, df
+    dense = np.zeros((n, n))
+    for i, j in pairs:
+        dense[i, j] += 1 / 3
+    s = 2.0 * np.linalg.inv(np.eye(n) - 0.5 * dense)
+    got = sar.impacts()["x"]
+    assert got["direct"] == pytest.approx(np.trace(s) / n) and got["total"] == pytest.approx(s.sum() / n) and got["indirect"] == pytest.approx(s.sum() / n - np.trace(s) / n)
+    about = sar.impacts(exact=0, draws=8, orders=6)["x"]
+    assert about["direct"] == pytest.approx(got["direct"], rel=0.1) and about["total"] == pytest.approx(got["total"], rel=0.02)
+
+
+def test_discounted_returns_of_long_episodes(spark):
+    """Batches of few rows, resets, several users, against the plain recursion."""
+    rng = np.random.RandomState(3)
+    rows = [(u, t, float(rng.normal()), bool(rng.rand() < 0.02)) for u, n in ((1, 700), (2, 1), (None, 40)) for t in range(n)]
+    df = spark.createDataFrame(rows, "u long, t long, r double, d boolean").repartition(4)
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "37")
+    try:
+        got = {(x.u, x.t): x.ret for x in rl.discounted_returns(df, "u", "t", "r", 0.97, "d").collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+    assert len(got) == len(rows)
+    for user in (1, 2, None):
+        g = 0.0
+        for _, t, r, d in sorted((x for x in rows if x[0] == user), key=lambda x: -x[1]):
+            g = r + (0.0 if d else 0.97 * g)
+            assert got[(user, t)] == pytest.approx(g, abs=1e-9)
