@@ -3,20 +3,26 @@
 A window is ``span`` consecutive words (runs of anything but ASCII white space, unchanged) of one text. A window
 repeats if its word sequence also starts in a text with a smaller id; every word covered by a repeating window goes.
 
-* Suffixes are grouped by a prefix taken where the text itself marks it: of each window the smallest hash of its
-  ``k``-grams. Equal windows have equal marks, so the groups can be treated apart, and consecutive windows with
-  one mark travel as one context. Groups that only one text holds cannot repeat and end there.
-* Groups of at most ``GROUP`` contexts are taken together until they fill a task's batch. Their subtree is grown level by level: the nodes
-  at depths 1, 2, 4, ... of all suffixes are numbered from pairs of shallower nodes, and branches that hold one text
-  are cut. What is left at depth ``span`` are the deep internal nodes: the maximal repeats, with their first owner.
-* A group of more contexts gets longer prefixes, up to ``span`` words, where a prefix is itself a deep node: its windows
-  are pre-aggregated by hash to their first owner, and nodes that very many windows share are looked up by broadcast.
+* Suffixes are partitioned by prefixes, taken where the text itself marks it: the mark of a window is the smallest hash of its
+  ``k``-grams, and the first partition is by that ``k``-word prefix of the suffix that begins at the mark. Equal windows have equal marks at
+  equal places, so the groups can be treated apart, and consecutive windows of one group travel as one context.
+  Groups that only one text holds cannot repeat and end there.
+* A group of more than ``LIMIT`` words gets longer prefixes. First equal contexts are pre-aggregated to their
+  smallest id, which settles all others. Then windows are split by the distance between their start and the mark into ranges a
+  quarter as wide: all windows of a range share span - width + 1 words around the mark, and these are their new prefix. This goes on, with prefixes
+  of about k, span - 6, span - 1 and span words, until each group fits; where the prefix is all of the window it is a deep node itself, whose
+  smallest id is found by aggregation.
+* Groups are taken together until they fill a task's batch, and the batch's truncated suffix tree is grown level by level: the nodes
+  at depths 1, 2, 4, ... of all suffixes are numbered, in the order of their words, from pairs of shallower nodes, and branches that hold one text
+  are cut. What is left at depth ``span`` are the deep internal nodes, with their first owner. Windows of these nodes that follow each other
+  make a maximal repeat: ``repeated_spans`` returns them per text.
 
 Covered words are removed from the texts afterwards; all windows are judged on the input.
 
 Defined results: null and wordless texts have no words; texts of fewer than ``span`` words lose nothing; equal
 windows inside one id, also in rows that repeat the id, do not repeat; rows with a null id keep everything and
-remove nothing elsewhere; kept words are joined by one space; other columns are passed through untouched.
+remove nothing elsewhere; rows that repeat id and text are cut alike; the smallest of several ids that hold a window keeps it; very long
+texts are read whole, one a task at worst; kept words are joined by one space; other columns are passed through untouched.
 """
 
 from __future__ import annotations
@@ -33,10 +39,12 @@ from . import kernel as K
 from .common import chunks, replaced, skew_lookup, tidy, written
 from .graph import sorted_groups
 
-#: Contexts of one mark that make a subtree in one task's memory (1.4 million suffixes); larger groups get longer prefixes.
-GROUP = 20_000
-#: Words that a task treats at once.
+#: Words of the contexts of one prefix that make a subtree in one task's memory; larger groups get longer prefixes.
+LIMIT = 100_000
+#: Words that a task treats at once: this many, and one more group.
 BATCH_WORDS = 400_000
+#: By how much ranges narrow from prefix to prefix.
+NARROW = 4
 _SECOND = 0xA0761D6478BD642F
 _U = np.uint64
 
@@ -56,17 +64,17 @@ def marks(data: np.ndarray, offs: np.ndarray, span: int, k: int):
 
 
 def _shared_marks(texts: DataFrame, span: int, k: int) -> DataFrame:
-    """mark, contexts: marks that texts of two ids or more hold."""
+    """mark, contexts, total (their words): marks that texts of two ids or more hold."""
     kind = dict(texts.dtypes)["doc_id"]
 
     def run(batches):
         for batch in batches:
             for part, data, offs in chunks(batch, "text"):
-                of, mark, _, _ = marks(data, offs, span, k)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id").take(pa.array(of)), pa.array(mark)], names=["doc_id", "mark"])
+                of, mark, a, b = marks(data, offs, span, k)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id").take(pa.array(of)), pa.array(mark), pa.array(b - a + span)], names=["doc_id", "mark", "n"])
 
-    held = texts.select("doc_id", "text").mapInArrow(tidy(run), f"doc_id {kind}, mark long")
-    return held.groupBy("mark").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count("*").alias("contexts")).where("lo <> hi").select("mark", "contexts")
+    held = texts.select("doc_id", "text").mapInArrow(tidy(run), f"doc_id {kind}, mark long, n long")
+    return held.groupBy("mark").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count("*").alias("contexts"), F.sum("n").alias("total")).where("lo <> hi").select("mark", "contexts", "total")
 
 
 def _runs(texts: DataFrame, span: int, k: int) -> DataFrame:
@@ -100,9 +108,9 @@ def _contexts(span: int):
                         words = data[starts[f + a] : ends[f + b + span - 1]].tobytes()
                         rows.append((r["mark"], r["many"], doc, digest, a, b - a + 1, words))
                         size += len(words)
-                    if size > 1 << 21:
-                        yield _rows(rows, part)
-                        rows, size = [], 0
+                        if size > 1 << 21:
+                            yield _rows(rows, part)
+                            rows, size = [], 0
                 if rows:
                     yield _rows(rows, part)
 
@@ -111,7 +119,7 @@ def _contexts(span: int):
 
 def _rows(rows: list[tuple], part: pa.RecordBatch) -> pa.RecordBatch:
     types = [pa.int64(), pa.bool_(), part.schema.field("doc_id").type, pa.int64(), pa.int32(), pa.int32(), pa.binary()]
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=["mark", "many", "doc_id", "digest", "a", "n", "words"])
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=["key", "many", "doc_id", "r1", "a", "n", "words"])
 
 
 def _hashed(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -169,7 +177,7 @@ def deep_nodes(words: np.ndarray, ends: np.ndarray, doc: np.ndarray, span: int)
 
 
 def _subtrees(span: int):
-    """Streams contexts sorted by mark and yields the removed spans of every context (by digest and id)."""
+    """Streams contexts sorted by key and yields the removed spans of every context, in the places of what it was taken from."""
 
     def solve(tables: list[pa.Table]) -> Iterator[pa.RecordBatch]:
         t = pa.concat_tables(tables)
@@ -187,7 +195,7 @@ def _subtrees(span: int):
 
     def run(batches):
         held, size = [], 0
-        for group in sorted_groups(batches, ["mark"]):
+        for group in sorted_groups(batches, ["key"]):
             if group.num_rows > 1:
                 held.append(group)
                 size += int(np.sum(group.column("n").to_numpy())) + span * group.num_rows
@@ -211,48 +219,113 @@ def _spans(gone: np.ndarray, of: np.ndarray, first: np.ndarray, t: pa.Table, spa
     row = of[a]
     base = t.column("a").to_numpy()[row] - first[row]
     at = pa.array(row)
-    for batch in pa.table({"doc_id": t.column("doc_id").take(at), "digest": t.column("digest").take(at), "s": pa.array(gone[a] + base, pa.int32()), "e": pa.array(gone[b] + base + span, pa.int32())}).combine_chunks().to_batches():
+    for batch in pa.table({"doc_id": t.column("doc_id").take(at), "r1": t.column("r1").take(at), "r2": t.column("r2").take(at), "s": pa.array(gone[a] + base, pa.int32()), "e": pa.array(gone[b] + base + span, pa.int32())}).combine_chunks().to_batches():
         yield batch
 
 
-def _full_prefixes(span: int, kind: str):
-    """One row per window of the contexts of large groups: its whole prefix, as two hashes."""
+def _split(span: int, k: int, width: int):
+    """From contexts: runs of windows that share the prefix of their range of distances to the mark; q tells full prefixes apart for sure."""
+
+    def solve(part: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        data, starts, ends, first = _hashed(part.column("words"))
+        hashes = K.spans(data, starts, ends)
+        n, last = len(hashes), np.iinfo(np.uint64).max
+        of = np.repeat(np.arange(part.num_rows), np.diff(first))
+        stop = first[1:][of]
+        grams = np.full(n, last)
+        grams[: n - k + 1] = K.grams(hashes, k)
+        grams[np.arange(n) + k > stop] = last
+        marked = grams == np.minimum.reduceat(grams, first[:-1])[of]
+        nearest = np.minimum.accumulate(np.where(marked, np.arange(n), n)[::-1])[::-1]
+        w = np.flatnonzero(np.arange(n) + span <= stop)
+        far = nearest[w] - w
+        low = far // width * width
+        high = np.minimum(low + width - 1, span - k)
+        prefix = np.zeros(len(w), _U)
+        for apart in np.unique(high - low).tolist():
+            some = np.flatnonzero(high - low == apart)
+            prefix[some] = K.grams(hashes, span - apart)[w[some] + far[some] - low[some]]
+        key = K.mix(prefix + low.astype(_U) * _U(0x9E3779B97F4A7C15)).view(np.int64)
+        q = K.grams(K.spans(data, starts, ends, _SECOND), span)[w].view(np.int64) if width == 1 else key
+        new = np.ones(len(w), bool)
+        new[1:] = (w[1:] != w[:-1] + 1) | (of[w[1:]] != of[w[:-1]]) | (key[1:] != key[:-1]) | (q[1:] != q[:-1])
+        a = np.flatnonzero(new)
+        b = np.concatenate((a[1:], [len(w)])) - 1 if len(a) else a
+        rows = pa.array(of[w[a]])
+        at = part.column("a").to_numpy()[of[w[a]]] + w[a] - first[of[w[a]]]
+        words = [b""] * len(a) if width == 1 else [data[i:j].tobytes() for i, j in zip(starts[w[a]].tolist(), ends[w[b] + span - 1].tolist(), strict=True)]
+        carried = [part.column(c).take(rows) for c in ("doc_id", "r1", "r2")]
+        for i in range(0, len(a), 20_000):
+            some = slice(i, i + 20_000)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(key[a[some]]), pa.array(q[a[some]]), *[c[some] for c in carried], pa.array(at[some], pa.int32()), pa.array((b - a + 1)[some], pa.int32()), pa.array(words[some], pa.binary())],
+                names=["key", "q", "doc_id", "r1", "r2", "a", "n", "words"],
+            )
 
     def run(batches):
         for batch in batches:
-            for i in range(0, batch.num_rows, 2000):
-                part = batch.slice(i, 2000)
-                data, starts, ends, first = _hashed(part.column("words"))
-                one, two = (K.grams(K.spans(data, starts, ends, base), span) for base in (K._R, _SECOND))
-                of = np.repeat(np.arange(part.num_rows), np.diff(first))[: len(one)]
-                at = np.flatnonzero(np.arange(len(one)) + span <= first[1:][of])
-                of = of[at]
-                s = at - first[of] + part.column("a").to_numpy()[of]
-                rows = pa.array(of)
-                yield pa.RecordBatch.from_arrays([pa.array(one[at].view(np.int64)), pa.array(two[at].view(np.int64)), part.column("doc_id").take(rows), part.column("digest").take(rows), pa.array(s, pa.int32())], names=["p", "q", "doc_id", "digest", "s"])
+            for i in range(0, batch.num_rows, 1000):
+                yield from solve(batch.slice(i, min(1000, batch.num_rows - i)))
 
     return run
 
 
+def _trees(contexts: DataFrame, span: int, kind: str) -> DataFrame:
+    return contexts.repartition("key").sortWithinPartitions("key").mapInArrow(tidy(_subtrees(span)), f"doc_id {kind}, r1 long, r2 long, s int, e int")
+
+
+def _large(contexts: DataFrame, span: int, k: int) -> DataFrame:
+    """doc_id, r1, s, e: the removed spans of contexts whose groups exceed LIMIT."""
+    spark, kind = contexts.sparkSession, dict(contexts.dtypes)["doc_id"]
+    one, two = F.xxhash64("words"), F.xxhash64("words", F.lit(1))
+    named = contexts.withColumns({"c1": one, "c2": two})
+    distinct = named.groupBy("key", "c1", "c2").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("words").alias("words"))
+    distinct = written(distinct, spark, "substring-distinct")
+    owners = distinct.select("c1", F.struct("c2", "doc_id").alias("o"), "copies").groupBy("c1").agg(F.collect_set("o").alias("os"), F.sum("copies").alias("copies"))
+    held = skew_lookup(named.select("doc_id", "r1", "a", "n", "c1", "c2"), owners, "c1", ["os"], "copies", ["doc_id", "a"])
+    held = held.withColumn("owner", F.array_min(F.transform(F.filter("os", lambda o: o["c2"] == F.col("c2")), lambda o: o["doc_id"]))).drop("os")
+    out = held.where("owner < doc_id").select("doc_id", "r1", F.col("a").alias("s"), (F.col("a") + F.col("n") + (span - 1)).alias("e"))
+
+    state = distinct.select("doc_id", F.col("c1").alias("r1"), F.col("c2").alias("r2"), F.lit(0).alias("a"), "n", "words")
+    schema = f"key long, q long, doc_id {kind}, r1 long, r2 long, a int, n int, words binary"
+    found, width = None, span - k + 1
+    while state is not None:
+        width = -(-width // NARROW)
+        rows = written(state.mapInArrow(tidy(_split(span, k, width)), schema), spark, "substring-split")
+        if width == 1:
+            owned = rows.groupBy("key", "q").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count("*").alias("runs")).where("lo <> hi")
+            owned = owned.groupBy("key").agg(F.collect_list(F.struct("q", "lo")).alias("os"), F.sum("runs").alias("runs"))
+            some = skew_lookup(rows.drop("words"), owned, "key", ["os"], "runs", ["doc_id", "r1", "a"])
+            some = some.where(F.exists("os", lambda o: (o["q"] == F.col("q")) & (o["lo"] < F.col("doc_id"))))
+            some = some.select("doc_id", "r1", "r2", F.col("a").alias("s"), (F.col("a") + F.col("n") + (span - 1)).alias("e"))
+            state = None
+        else:
+            sizes = rows.groupBy("key").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count("*").alias("runs"), F.sum(F.col("n") + (span - 1)).alias("total")).where("lo <> hi")
+            sizes = written(sizes.select("key", "runs", "total"), spark, "substring-sizes")
+            sized = skew_lookup(rows, sizes, "key", ["total"], "runs", ["doc_id", "r1", "a"])
+            some = _trees(sized.where(F.col("total") <= LIMIT).drop("q", "total"), span, kind)
+            state = sized.where(F.col("total") > LIMIT).drop("key", "q", "total") if sizes.where(F.col("total") > LIMIT).limit(1).count() else None
+        found = some if found is None else found.unionByName(some)
+    found = found.groupBy(F.col("r1").alias("f1"), F.col("r2").alias("f2")).agg(F.collect_list(F.struct("s", "e")).alias("cut"))
+    first = held.where("owner = doc_id").join(found.hint("merge"), (F.col("c1") == F.col("f1")) & (F.col("c2") == F.col("f2")))
+    first = first.select("doc_id", "r1", "a", F.explode("cut").alias("x")).select("doc_id", "r1", (F.col("a") + F.col("x.s")).alias("s"), (F.col("a") + F.col("x.e")).alias("e"))
+    return out.unionByName(first)
+
+
 def repeated_spans(texts: DataFrame, span: int, k: int) -> DataFrame:
     """doc_id, digest, cut (array of word spans s, e) of texts that hold repeating windows. texts: doc_id, text, digest."""
     spark = texts.sparkSession
     kind = dict(texts.dtypes)["doc_id"]
     shared = written(_shared_marks(texts, span, k), spark, "substring-marks")
-    runs = skew_lookup(_runs(texts, span, k), shared, "mark", ["contexts"], "contexts", ["doc_id", "at"]).where("contexts is not null")
-    lists = runs.groupBy("doc_id", "digest").agg(F.collect_list(F.struct("mark", (F.col("contexts") > GROUP).alias("many"), "at")).alias("runs"))
-    contexts = texts.join(lists.hint("merge"), ["doc_id", "digest"]).mapInArrow(tidy(_contexts(span)), f"mark long, many boolean, doc_id {kind}, digest long, a int, n int, words binary")
+    runs = skew_lookup(_runs(texts, span, k), shared, "mark", ["total"], "contexts", ["doc_id", "at"]).where("total is not null")
+    # rows that repeat id and text name the same runs
+    lists = runs.groupBy("doc_id", "digest").agg(F.collect_set(F.struct("mark", (F.col("total") > LIMIT).alias("many"), "at")).alias("runs"))
+    contexts = texts.join(lists.hint("merge"), ["doc_id", "digest"]).mapInArrow(tidy(_contexts(span)), f"key long, many boolean, doc_id {kind}, r1 long, a int, n int, words binary")
     contexts = written(contexts, spark, "substring-contexts")
-
-    out = f"doc_id {kind}, digest long, s int, e int"
-    few = contexts.where("not many").repartition("mark").sortWithinPartitions("mark").mapInArrow(tidy(_subtrees(span)), out)
-    windows = contexts.where("many").mapInArrow(tidy(_full_prefixes(span, kind)), f"p long, q long, doc_id {kind}, digest long, s int")
-    owners = windows.groupBy("p", "q").agg(F.min("doc_id").alias("owner"), F.count("*").alias("n"))
-    owners = owners.where("n > 1").select("p", F.struct("q", "owner").alias("o"), "n").groupBy("p").agg(F.collect_list("o").alias("os"), F.sum("n").alias("n"))
-    many = skew_lookup(windows, owners, "p", ["os"], "n", ["doc_id", "s"])
-    mine = F.filter("os", lambda o: (o["q"] == F.col("q")) & (o["owner"] < F.col("doc_id")))
-    many = many.where(F.size(mine) > 0).select("doc_id", "digest", "s", (F.col("s") + span).alias("e"))
-    return few.unionByName(many).groupBy("doc_id", "digest").agg(F.collect_list(F.struct("s", "e")).alias("cut"))
+    found = _trees(contexts.where("not many").drop("many").withColumn("r2", F.lit(0).cast("long")), span, kind).drop("r2")
+    if shared.where(F.col("total") > LIMIT).limit(1).count():
+        found = found.unionByName(_large(contexts.where("many").drop("many"), span, k))
+    return found.groupBy("doc_id", F.col("r1").alias("digest")).agg(F.collect_set(F.struct("s", "e")).alias("cut"))
 
 
 def dedup_substrings(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", span: int = 50, k: int = 24) -> DataFrame:
@@ -261,7 +334,9 @@ def dedup_substrings(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "te
     texts = rows.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.xxhash64(text).alias("digest"))
     cuts = repeated_spans(texts.where("doc_id is not null"), span, k)
     # all columns travel as one struct, so that no name of theirs can clash
-    packed = rows.select(F.struct("*").alias("row"), F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("digest"))
+    # rows without an id find nothing and are spread
+    digest = F.when(F.col(doc_id).isNull(), F.monotonically_increasing_id()).otherwise(F.xxhash64(text))
+    packed = rows.select(F.struct("*").alias("row"), F.col(doc_id).alias("doc_id"), digest.alias("digest"))
     joined = packed.join(cuts.hint("merge"), ["doc_id", "digest"], "left").select("row", "cut")
     schema = f"row {dict(packed.dtypes)['row']}, n_words long, n_removed long"
     out = joined.mapInArrow(tidy(_remove(text, rows.columns)), schema)

@@ -4,6 +4,8 @@ import re
 from collections import Counter
 
 import numpy as np
+import random
+
 import pytest
 
 from statloom.llm import decontam, graph, jaccard, kernel, linededup, quality, substring
@@ -60,10 +62,10 @@ def spans_by_hand(rows, span):
     return out
 
 
-@pytest.mark.parametrize("seed,span,k,group", [(1, 50, 24, 20_000), (2, 50, 24, 1), (3, 20, 8, 2), (4, 12, 5, 20_000)])
+@pytest.mark.parametrize("seed,span,k,group", [(1, 50, 24, 100_000), (2, 50, 24, 1), (5, 50, 24, 400), (3, 20, 8, 2), (6, 20, 8, 90), (4, 12, 5, 100_000), (7, 12, 12, 1)])
 def test_substrings(spark, monkeypatch, seed, span, k, group):
     """group = 1: every shared mark takes the path of longer prefixes."""
-    monkeypatch.setattr(substring, "GROUP", group)
+    monkeypatch.setattr(substring, "LIMIT", group)
     rows = [*corpus(seed, 50), (950, "x " * 400), (951, "x " * 300 + "y")]
     got = substring.dedup_substrings(frame(spark, rows), span=span, k=k)
     assert {r.doc_id: (r.n_words, r.n_removed, r.text) for r in got.collect()} == spans_by_hand(rows, span)
@@ -77,6 +79,20 @@ def test_substrings_edge_rows(spark):
     assert substring.dedup_substrings(frame(spark, rows).limit(0)).count() == 0
 
 
+def test_substrings_many_copies(spark, monkeypatch):
+    """A thousand rows of one id and text, long texts of one word, and a passage with different surroundings, over a low limit."""
+    monkeypatch.setattr(substring, "LIMIT", 2000)
+    r = random.Random(8)
+    passage = " ".join(f"p{i}" for i in range(80))
+    own = lambda i, n: " ".join(f"d{i}x{r.randrange(10**6)}" for _ in range(n))
+    rows = [(i, f"{own(i, 30)} {passage} {own(i, 30)}") for i in range(10, 150)] + [(2, "y " * 20_000), (5, "y " * 15_000 + "z"), (1, own(1, 30))]
+    same = [(7, "head " + passage)] * 1000
+    got = substring.dedup_substrings(frame(spark, [*rows, *same]))
+    expected = spans_by_hand([*rows, same[0]], 50)
+    found = got.collect()
+    assert len(found) == len(rows) + 1000 and all((x.n_words, x.n_removed, x.text) == expected[x.doc_id] for x in found)
+
+
 def shingles(t, k=5):
     w = words(lower(t or ""))
     return {tuple(w[i : i + k]) for i in range(len(w) - k + 1)} if len(w) >= k else ({tuple(w)} if w else set())
