@@ -3,6 +3,10 @@
 Every stage takes (spark, docs, sf_dir) and works on all that its predecessor kept; its result is written as
 Parquet in the shared folder and read again as the next stage's documents. All stages but the last return the
 columns of documents.
+
+Defined results, in all stages: a null or empty text has no words and goes with the quality rules; rows without an id are
+judged by their own text and are no one's copy; rows that repeat id and text stay or go together; of equal texts under several ids the
+smallest id stays; very long texts pass whole; further columns travel along; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -31,9 +35,13 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents the one of smallest id stays; rows without an id stay."""
-    found = jaccard.join(docs).where("component_id < doc_id").select("doc_id").distinct()
-    return docs.join(found.hint("merge"), "doc_id", "left_anti").select(docs.columns)
+    """Of each group of linked documents the one of smallest id stays; rows without an id stay.
+
+    A row goes by its id and text: another text under the id of a copy is judged for itself.
+    """
+    found = jaccard.join(docs, digest=True).where("component_id < doc_id").select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest")).distinct()
+    same = (F.col("doc_id") == F.col("_id")) & (F.xxhash64(F.col("text").cast("string")) == F.col("_digest"))
+    return docs.join(found.hint("merge"), same, "left_anti").select(docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -10,7 +10,7 @@ The benchmark is indexed in blocks whose size is measured before anything is sen
 document meets every block, without a shuffle.
 
 Defined results: a null or wordless text has no words and no hit; null ids are carried through; repeated rows are
-judged each for itself; null or wordless items match nothing; an empty benchmark leaves every document clean;
+judged each for itself; null or wordless items match nothing; an item without an id hits, but no id is listed for it; a very long text is scanned whole; an empty benchmark leaves every document clean;
 columns other than the id and the text are ignored.
 """
 
@@ -36,7 +36,7 @@ class Index:
     """Window hashes of one benchmark block, by window length, with the items that hold them."""
 
     def __init__(self, items: list[tuple[str, str]], span: int, k: int):
-        self.span, self.k, self.names = span, k, [str(i) for i, _ in items]
+        self.span, self.k, self.names = span, k, [i for i, _ in items]
         texts = [(t or "").encode() for _, t in items]
         data = K.lowered(np.frombuffer(b"".join(texts), np.uint8))
         offs = np.concatenate(([0], np.cumsum([len(t) for t in texts]))).astype(np.int64)
@@ -101,7 +101,7 @@ def _blocks(benchmark: DataFrame, item_id: str, text: str, limit: int) -> Iterat
     n = max(1, -(-total // limit))
     while True:
         block = F.pmod(F.xxhash64("i", "t"), F.lit(n))
-        sizes = {r["b"]: (r["s"], r["c"]) for r in items.groupBy(block.alias("b")).agg(F.sum(F.octet_length("t")).alias("s"), F.countDistinct("i", "t").alias("c")).collect()}
+        sizes = {r["b"]: (r["s"], r["c"]) for r in items.groupBy(block.alias("b")).agg(F.sum(F.octet_length("t")).alias("s"), F.countDistinct(F.struct("i", "t")).alias("c")).collect()}
         if all(s <= 2 * limit or c == 1 for s, c in sizes.values()):
             break
         n *= 2
@@ -171,7 +171,7 @@ def _mark(index: Index, part: pa.RecordBatch, data: np.ndarray, offs: np.ndarray
         who = index.windows[m][1]
         of = np.searchsorted(first, at, "right") - 1
         for d, a, b in zip(of.tolist(), lo.tolist(), hi.tolist(), strict=True):
-            items[d].update(index.names[j] for j in who[a:b])
+            items[d].update(index.names[j] for j in who[a:b] if index.names[j] is not None)
     hit = np.cumsum(cover[:-1]) > 0
     total = np.concatenate(([0], np.cumsum(hit)))
     edge = np.flatnonzero(np.diff(np.concatenate(([0], hit.view(np.int8), [0]))))

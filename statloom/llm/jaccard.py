@@ -129,7 +129,7 @@ def part_keys(sets: np.ndarray, begin: np.ndarray, bands: Bands) -> tuple[np.nda
 
 
 def classes(docs: DataFrame, doc_id: str, text: str, k: int, num: int, den: int) -> DataFrame:
-    """doc_id, n, cls (null for an empty set), slack of every row."""
+    """doc_id, digest (of the text), n, cls (null for an empty set), slack of every row."""
     kind = dict(docs.dtypes)[doc_id]
 
     def run(batches):
@@ -139,9 +139,9 @@ def classes(docs: DataFrame, doc_id: str, text: str, k: int, num: int, den: int)
                 sets, begin = shingle_sets(data, offs, k)
                 size = np.diff(begin)
                 _, _, slack = part_keys(sets, begin, bands)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(size), pa.array(class_ids(sets, begin), mask=size == 0), pa.array(slack)], names=["doc_id", "n", "cls", "slack"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("digest"), pa.array(size), pa.array(class_ids(sets, begin), mask=size == 0), pa.array(slack)], names=["doc_id", "digest", "n", "cls", "slack"])
 
-    return _texts(docs, doc_id, text).mapInArrow(tidy(run), f"doc_id {kind}, n long, cls long, slack long")
+    return _texts(docs, doc_id, text).withColumn("digest", F.xxhash64("text")).mapInArrow(tidy(run), f"doc_id {kind}, digest long, n long, cls long, slack long")
 
 
 def _texts(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -327,8 +327,8 @@ def _links(sets: list[np.ndarray], num: int, den: int) -> tuple[np.ndarray, np.n
     return np.concatenate(a), np.concatenate(b)
 
 
-def join(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """doc_id, n_shingles, component_id (smallest id reachable by links) per row of docs."""
+def join(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", k: int = 5, num: int = 80, den: int = 100, digest: bool = False) -> DataFrame:
+    """doc_id, n_shingles, component_id (smallest id reachable by links) per row of docs; with ``digest`` also xxhash64 of its text."""
     spark = docs.sparkSession
     texts = _texts(docs, doc_id, text)
     rows = written(classes(docs, doc_id, text, k, num, den), spark, "jaccard-rows")
@@ -364,7 +364,7 @@ def join(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", k: int
     known = kinds.join(joined.select("cls", "least"), "cls", "left").where("copies > 1 or least is not null")
     known = known.select("cls", "copies", F.coalesce("least", "first").alias("component_id"))
     out = skew_lookup(rows, known, "cls", ["component_id"], "copies", ["doc_id"])
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    return out.select("doc_id", *(["digest"] if digest else []), F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def _load(k: int):

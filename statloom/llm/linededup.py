@@ -12,7 +12,7 @@ Because each hash has one owner, the owners' hash lists go back to the documents
 half of all documents hold is only one row there: no join meets a hot line.
 
 Defined results: a null or empty text is one empty line; rows with a null id keep all their lines and own none;
-rows that repeat an id count as one document and are cut alike; other columns are passed through untouched.
+rows that repeat an id count as one document and are cut alike; a very long text is cut whole, by one task; ids of any type that has an order will do; other columns are passed through untouched.
 """
 
 from __future__ import annotations
@@ -102,11 +102,19 @@ class LineRuns:
                     self.spark.sql(f"DROP TABLE IF EXISTS {n}")
                 self.levels[level] = []
 
+    def close(self) -> None:
+        """Drop the runs' catalog entries; their files stay until the work folder goes."""
+        for level in self.levels:
+            for name in level:
+                self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+
     def owned(self) -> DataFrame:
         """owner, keys: the hashes each document owns; as many as its own lines at most."""
         out = None
-        for run in self.runs():
-            out = run if out is None else out.unionByName(run)
+        for level in self.levels:
+            for name in level:
+                run = self.spark.read.schema(self.spark.table(name).schema).parquet(f"{self.dir}/{name}")
+                out = run if out is None else out.unionByName(run)
         return out.groupBy("owner").agg(F.collect_list("h1").alias("_h1"), F.collect_list("h2").alias("_h2"))
 
 
@@ -124,19 +132,33 @@ def dedup_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
         step = max(1, -(-(hi - lo + 1) // batches))
         edges = [(x, x + step) for x in range(lo, hi + 1, step)]
     else:
-        edges = [(None, None)]  # ids without arithmetic arrive as one batch
+        # ids without arithmetic: ranges between approximate quantiles of their order
+        cuts = _quantiles(docs, doc_id, batches)
+        edges = list(zip([None, *cuts], [*cuts, None], strict=True))
     for a, b in edges:
-        batch = docs if a is None else docs.where((F.col(doc_id) >= a) & (F.col(doc_id) < b))
+        batch = docs if a is None else docs.where(F.col(doc_id) >= F.lit(a))
+        batch = batch if b is None else batch.where(F.col(doc_id) < F.lit(b))
         runs.add(line_hashes(batch, doc_id, text, min_chars))
+    owned = runs.owned().withColumn("_zero", F.lit(0).cast("long"))
+    runs.close()
     # all columns travel as one struct, so that no name of theirs can clash
     rows = docs.withColumns({text: F.col(text).cast("string")})
-    packed = rows.select(F.struct("*").alias("row"), F.col(doc_id).alias("id"))
-    joined = packed.join(runs.owned(), F.col("id") == F.col("owner"), "left").drop("owner")
+    # rows without an id own nothing and are spread
+    spread = F.when(F.col(doc_id).isNull(), F.monotonically_increasing_id()).otherwise(0)
+    packed = rows.select(F.struct("*").alias("row"), F.col(doc_id).alias("id"), spread.alias("_salt"))
+    joined = packed.join(owned, (F.col("id") == F.col("owner")) & (F.col("_salt") == F.col("_zero")), "left").drop("owner", "_salt", "_zero")
     schema = f"row {dict(packed.dtypes)['row']}, n_lines long, n_dropped long"
     out = joined.mapInArrow(tidy(_cut(text, min_chars, rows.columns)), schema)
     return out.select(*[F.col("row")[c].alias(c) for c in rows.columns], "n_lines", "n_dropped")
 
 
+def _quantiles(docs: DataFrame, doc_id: str, n: int) -> list:
+    """At most n - 1 ids that part the ids into ranges: those at even places of a fixed share of id hashes; any cuts give the same result."""
+    some = docs.select(doc_id).where(F.col(doc_id).isNotNull()).distinct().orderBy(F.xxhash64(doc_id), doc_id).limit(1000)
+    ids = [r[0] for r in some.orderBy(doc_id).collect()]
+    return sorted({ids[len(ids) * k // n] for k in range(1, n)}) if ids else []
+
+
 def _cut(text: str, min_chars: int, columns: list[str]):
     at = columns.index(text)
 

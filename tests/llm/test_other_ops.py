@@ -357,3 +357,17 @@ def test_pipeline_stages(spark, tmp_path):
     assert {x.doc_id for x in out} == tokens
     one = next(x for x in out if x.doc_id == 3)
     assert one.decoded_sha256 == sha(good[3]) and one.n_tokens == len(one.ids)
+
+
+def test_near_duplicate_stage_goes_by_row(spark):
+    """Texts that share an id with a copy, rows without an id, nulls, repeated rows, an empty table."""
+    import corpus_pipeline
+
+    a, b = " ".join(f"a{i}" for i in range(60)), " ".join(f"b{i}" for i in range(60))
+    rows = [(1, a), (2, a + " tail"), (2, b), (2, b), (3, None), (4, ""), (None, a), (5, b), (6, "c d")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = corpus_pipeline.near_duplicates(spark, docs, "")
+    assert kept.columns == docs.columns
+    order = lambda rs: sorted(rs, key=str)
+    assert order((r.doc_id, r.text) for r in kept.collect()) == order([(1, a), (2, b), (2, b), (3, None), (4, ""), (None, a), (6, "c d")])
+    assert corpus_pipeline.near_duplicates(spark, docs.limit(0), "").count() == 0

@@ -1,11 +1,10 @@
 """Line, substring, near-duplicate, decontamination and quality operators against brute force on hostile tables."""
 
+import random
 import re
 from collections import Counter
 
 import numpy as np
-import random
-
 import pytest
 
 from statloom.llm import decontam, graph, jaccard, kernel, linededup, quality, substring
@@ -44,6 +43,18 @@ def test_lines_edge_rows(spark):
     assert linededup.dedup_lines(frame(spark, rows).limit(0)).count() == 0
 
 
+def test_lines_of_string_ids_and_leftovers(spark):
+    """Ids of any order arrive in ranges; many rows without an id; no catalog entry stays; a very long text."""
+    rows = [(f"k{i:03d}", t) for i, t in corpus(3) if i is not None] + [("zz", "a line of the long text\n" * 50_000)]
+    docs = spark.createDataFrame([*rows, *[(None, "a line of the long text")] * 50], "doc_id string, text string").repartition(4)
+    before = {t.name for t in spark.catalog.listTables()}
+    got = linededup.dedup_lines(docs, batches=3, fanout=2)
+    assert {t.name for t in spark.catalog.listTables()} == before
+    expected = lines_by_hand(rows)
+    assert {r.doc_id: (r.n_lines, r.n_dropped, r.text) for r in got.where("doc_id is not null").collect()} == expected
+    assert got.where("doc_id is null and n_dropped = 0").count() == 50
+
+
 def spans_by_hand(rows, span):
     first = {}
     for i, t in rows:
@@ -204,6 +215,17 @@ def test_decontamination(spark, block):
     assert all(r.kept["key"] == "x" and sum(s.end - s.start for s in r.spans) == r.n_hit for r in rows)
 
 
+@pytest.mark.parametrize("block", [1 << 20, 40])
+def test_decontamination_of_nameless_items(spark, block):
+    """Items without an id hit but are not listed, an item called None is; a very long text; no document at all."""
+    text = " ".join(f"q{i}" for i in range(12))
+    bench = spark.createDataFrame([(None, text), (None, text), ("None", "z1 z2 z3"), (None, "z2 z3 " * 30)], "item_id string, text string")
+    docs = frame(spark, [(1, "a " + text), (2, "z1 z2 z3"), (3, "b " * 200_000 + text), (4, "z1 z3")])
+    got = {r.doc_id: (r.n_words, r.n_hit, r["items"]) for r in decontam.find_hits(docs, bench, block_bytes=block).collect()}
+    assert got == {1: (13, 12, []), 2: (3, 3, ["None"]), 3: (200_012, 12, []), 4: (2, 0, [])}
+    assert decontam.find_hits(docs.limit(0), bench, block_bytes=block).count() == 0
+
+
 def test_decontamination_without_benchmark(spark):
     bench = spark.createDataFrame([], "item_id long, text string")
     rows = decontam.find_hits(frame(spark, [(None, "a b"), (1, None)]), bench).collect()
