@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,16 +46,21 @@ def safe(name: str) -> str:
     return name.replace(".", "_")
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """df written to the shared checkpoint folder: it is evaluated once, and a lost executor does not change it.
+def shared_path(spark: SparkSession, tag: str) -> str:
+    """A fresh path in spark.checkpoint.dir, the folder that all nodes share.
 
-    The folder is spark.checkpoint.dir; only where that is unset (local tests) one of this machine stands in.
+    Only where that is unset (local tests) a folder of this machine stands in.
     """
-    spark = df.sparkSession
     if not spark.conf.get("spark.checkpoint.dir", None):
         import tempfile
 
         spark.conf.set("spark.checkpoint.dir", "file://" + tempfile.mkdtemp(prefix="statloom-"))
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir"))
+    return f"{spark.conf.get('spark.checkpoint.dir').rstrip('/')}/{tag}-{uuid.uuid4().hex[:12]}"
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """df written to the shared checkpoint folder: it is evaluated once, and a lost executor does not change it."""
+    context = df.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(shared_path(df.sparkSession, "lineage"))
     return df.checkpoint()

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import accumulate
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -15,24 +17,13 @@ def _scan(gamma: float):
     def run(batches):
         carry = 0.0
         for batch in batches:
-            n = batch.num_rows
-            if not n:
+            if not batch.num_rows:
                 continue
-            ret = batch.column("r").to_numpy(zero_copy_only=False).astype(float)
             start = batch.column("start").to_numpy(zero_copy_only=False).astype(bool)
-            first = np.maximum.accumulate(np.where(start, np.arange(n), -1))
-            before = np.arange(n) - first
-            step = 1
-            while step < n:
-                at = np.flatnonzero((before >= step) & (np.arange(n) >= step))
-                if not len(at):
-                    break
-                ret[at] += gamma**step * ret[at - step]
-                step *= 2
-            open_ = np.flatnonzero(first < 0)
-            ret[open_] += gamma ** (open_ + 1.0) * carry
-            carry = float(ret[-1])
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ret)], names=["by", "order", "ret"])
+            steps = zip(batch.column("r").to_pylist(), np.where(start, 0.0, gamma).tolist(), strict=True)
+            ret = list(accumulate(steps, lambda g, x: x[0] + x[1] * g, initial=carry))[1:]
+            carry = ret[-1]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ret, pa.float64())], names=["by", "order", "ret"])
 
     return run
 
@@ -40,7 +31,7 @@ def _scan(gamma: float):
 def discounted_returns(df: DataFrame, by: str, order: str, reward: str, gamma: float = 0.99, done: str | None = None) -> DataFrame:
     """by, order, ret: reward plus gamma times what follows, starting anew after ``done``.
 
-    One sort by (by, order); batches are scanned by doubling, so a long episode streams through its task.
+    One sort by (by, order); the recursion runs through Arrow batches with one number carried, so a long episode streams through its task.
     """
     last = F.row_number().over(Window.partitionBy(by).orderBy(F.desc(order))) == 1
     start = last | F.coalesce(F.col(done).cast("boolean"), F.lit(False)) if done else last

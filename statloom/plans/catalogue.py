@@ -45,4 +45,4 @@ def oracle_sql() -> dict[str, str]:
 
 
 def _load() -> None:
-    from . import catalogue_data, catalogue_models, catalogue_series, catalogue_stats  # noqa: F401
+    from . import catalogue_data, catalogue_models, catalogue_more, catalogue_series, catalogue_stats  # noqa: F401

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
+
 
 import numpy as np
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..frames import load
+from ..frames import load, shared_path
 from ..operators import linalg, nn, optimize
 from ..sources import datasets, io
 from ..streaming import events
@@ -78,7 +78,7 @@ def _stream(spark, sf):
 @query(_EV.format(w="epoch(date_trunc('hour', ts))::BIGINT"))
 def streaming_tumbling(spark, sf):
     s = events.tumbling(_stream(spark, sf), "1 hour", ["event_type"])
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp()
+    base = shared_path(spark, "streams")
     import uuid
 
     name = f"w{uuid.uuid4().hex[:10]}"
@@ -86,17 +86,7 @@ def streaming_tumbling(spark, sf):
     return rounded(out.withColumn("window_start", F.unix_timestamp("window_start")), 4)
 
 
-@query()
-def save_load_model(spark, sf):
-    from ..operators.preprocess import StandardScaler
-
-    o = load(spark, sf, "orders")
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp()
-    io.save_model(spark, StandardScaler(["o_totalprice"]).fit(o), f"{base}/model")
-    return io.load_model(spark, f"{base}/model").transform(o.select("o_orderkey", "o_totalprice"))
-
-
-@query()
+@query("SELECT unnest(['regression', 'classification', 'iris']) AS name, unnest([100, 90, 15])::BIGINT AS n")
 def generated_tables(spark, sf):
     reg, _ = datasets.make_regression(spark, 100, 5, 0.1)
     cls = datasets.make_classification(spark, 90, 4, 3)
@@ -110,12 +100,12 @@ def sparse_matmul(spark, sf):
     return rounded(linalg.matmul(a, linalg.transpose(a)).withColumn("v", F.col("v") / 1e6), 3)
 
 
-@query()
+@query("SELECT -2.0::DOUBLE AS det, 2.0::DOUBLE AS x0, 3.0::DOUBLE AS x1, round(1 / 1.0, 8) AS chol, 0.0::DOUBLE AS qr_error, round((7 + sqrt(17)) / 2, 8) AS s0")
 def dense_algebra(spark, sf):
     a = np.array([[4.0, 2.0], [2.0, 3.0]])
     q, r = linalg.qr(a)
     x = linalg.solve([[3, 1], [1, 2]], [9, 8])
-    return one_row(spark, {"det": linalg.det([[1, 2], [3, 4]]), "x0": float(x[0]), "x1": float(x[1]), "chol": float(linalg.cholesky(a)[1, 0]), "qr_error": float(np.abs(q @ r - a).max()), "s0": float(linalg.svd(a)[1][0])})
+    return rounded(one_row(spark, {"det": linalg.det([[1, 2], [3, 4]]), "x0": float(x[0]), "x1": float(x[1]), "chol": float(linalg.cholesky(a)[1, 0]), "qr_error": float(np.abs(q @ r - a).max()), "s0": float(linalg.svd(a)[1][0])}), 8)
 
 
 @query()

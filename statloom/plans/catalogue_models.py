@@ -170,7 +170,7 @@ def linear_svc(spark, sf):
 @query()
 def kernel_svc(spark, sf):
     e = load(spark, sf, "embeddings").withColumn("y", (F.col("label") < 5).cast("int"))
-    return models.KernelSVC("embedding", "y", gamma=0.5, most=200).fit(e, "vec_id").predict(e).select("vec_id", "y", "prediction")
+    return models.KernelSVC("embedding", "y", gamma=0.5).fit(e, "vec_id").predict(e).select("vec_id", "y", "prediction")
 
 
 @query("""WITH c AS (SELECT l_quantity AS v, count(*) AS n, sum(l_extendedprice) AS s, sum(l_extendedprice**2) AS q FROM lineitem GROUP BY 1), t AS (SELECT sum(n) AS tn, sum(s) AS ts, sum(q) AS tq FROM c),

@@ -276,7 +276,11 @@ def f_regression(spark, sf):
     return rounded(select.f_regression(load(spark, sf, "lineitem"), ["l_quantity", "l_discount", "l_tax"], "l_extendedprice"), 4)
 
 
-@query()
+_MI = """SELECT '{c}' AS feature, round(sum(n / tn * ln(n * tn / (nb * nl))), 6) AS score FROM (SELECT n::DOUBLE AS n, sum(n) OVER () AS tn, sum(n) OVER (PARTITION BY b) AS nb, sum(n) OVER (PARTITION BY l_returnflag) AS nl FROM
+(SELECT l_returnflag, least(floor(({c}::DOUBLE - lo) / ((hi - lo) / 10)), 9) AS b, count(*) AS n FROM lineitem, (SELECT min({c})::DOUBLE AS lo, max({c})::DOUBLE AS hi FROM lineitem) GROUP BY ALL))"""
+
+
+@query(" UNION ALL ".join(_MI.format(c=c) for c in _COLS))
 def mutual_info(spark, sf):
     return rounded(select.mutual_info_classif(load(spark, sf, "lineitem"), _COLS, "l_returnflag"))
 
