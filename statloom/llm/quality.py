@@ -7,13 +7,13 @@ however small the corpus is. A document's score is the mean, over its n-grams, o
 kept if the score reaches ``threshold``. Bucket weights are rounded to integers (millionths), so sums are exact and verdicts do not
 depend on the order of rows or on the number of partitions.
 
-The raw counts cover every row. The trusted set is a set of ids of at most ``MAX_TRUSTED`` labelled rows (those of
-least id hash), which bounds what is broadcast. The weights reach the rows as one scalar subquery, an array of
+The raw counts cover every row, the trusted counts every row with a trusted id. Trusted ids are counted first: few of them are
+broadcast and documents are not shuffled; more than ``BROADCAST_IDS`` are merge-joined by id. The weights reach the rows as one scalar subquery, an array of
 ``BUCKETS`` integers; documents are never shuffled.
 
 Defined results: a null text has no words; wordless texts fail the base rules; a null id is never trusted; with no
 trusted text at all every weight is zero and only the base rules decide; repeated rows are judged each for itself;
-other columns are ignored.
+a very long text is judged whole, in one row; a score equal to the threshold keeps; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,7 +25,8 @@ from pyspark.sql import functions as F
 
 BUCKETS = 1 << 16
 PSEUDO = 20.0
-MAX_TRUSTED = 20_000
+#: Up to this many trusted ids (8 bytes each, if they are numbers) are broadcast; more meet the documents in a merge join.
+BROADCAST_IDS = 1_000_000
 #: Mean log-likelihood ratio that a kept document must reach.
 THRESHOLD = -0.15
 SPACE = r"[\x20\x09-\x0D]+"
@@ -37,9 +38,9 @@ def _let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def _rows(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+def _rows(docs: DataFrame, doc_id: str, text: str, *more: str) -> DataFrame:
     t = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    rows = docs.select(F.col(doc_id).alias("doc_id"), t.alias("t"))
+    rows = docs.select(F.col(doc_id).alias("doc_id"), t.alias("t"), *more)
     rows = rows.withColumn("words", F.array_remove(F.split("t", SPACE), ""))
     return rows.withColumn("wh", F.transform("words", lambda w: F.xxhash64(w)))
 
@@ -69,9 +70,15 @@ def repeated_words(hashes: str, k: int = WINDOW) -> Column:
 
 def bucket_counts(docs: DataFrame, trusted: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """bucket, raw, target: n-gram counts of all texts and of the trusted ones. trusted: a column doc_id."""
-    few = trusted.select("doc_id").where("doc_id is not null").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_TRUSTED)
-    rows = _rows(docs, doc_id, text)
-    rows = rows.join(F.broadcast(few.select(F.col("doc_id").alias("_id"), F.lit(1).alias("_in"))), F.col("doc_id") == F.col("_id"), "left")
+    ids = trusted.select("doc_id").where("doc_id is not null").distinct()
+    few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    marked = ids.select(F.col("doc_id").alias("_id"), F.lit(1).alias("_in")).hint("broadcast" if few else "merge")
+    # the words are split after the join, so that only texts are ever shuffled
+    texts = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("t"))
+    rows = (texts if few else texts.where("doc_id is not null")).join(marked, F.col("doc_id") == F.col("_id"), "left")
+    if not few:  # rows without an id would meet in one task
+        rows = rows.unionByName(texts.where("doc_id is null"), allowMissingColumns=True)
+    rows = _rows(rows.select("_in", "doc_id", "t"), "doc_id", "t", "_in")
     grams = rows.select(F.coalesce("_in", F.lit(0)).alias("is_in"), F.explode(_buckets()).alias("bucket"))
     return grams.groupBy("bucket").agg(F.count("*").alias("raw"), F.sum("is_in").cast("long").alias("target"))
 
