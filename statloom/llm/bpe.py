@@ -298,8 +298,8 @@ def load(path: str, kind: type = ByteBpe):
     return _loaded[path, kind]
 
 
-def encode(docs: DataFrame, vocabulary: str, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, ids array<int> per row of docs."""
+def encode(docs: DataFrame, vocabulary: str, *, doc_id: str = "doc_id", text: str = "text", decoded: bool = False) -> DataFrame:
+    """doc_id, ids array<int> per row of docs; with ``decoded`` also text, those ids decoded by the same task."""
     kind = dict(docs.dtypes)[doc_id]
 
     def run(batches):
@@ -312,13 +312,15 @@ def encode(docs: DataFrame, vocabulary: str, *, doc_id: str = "doc_id", text: st
                 base = size[i - 1] if i else 0
                 j = max(i + 1, int(np.searchsorted(size, base + CHUNK, "right")))
                 ids, begin = bpe.encode(texts.slice(i, j - i).to_pylist())
-                lists = pa.ListArray.from_arrays(pa.array(begin, pa.int32()), pa.array(ids, pa.int32()))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i), lists], names=["doc_id", "ids"])
+                out = {"doc_id": batch.column("doc_id").slice(i, j - i), "ids": pa.ListArray.from_arrays(pa.array(begin, pa.int32()), pa.array(ids, pa.int32()))}
+                if decoded:
+                    out["text"] = pa.array(bpe.decode(ids, begin), pa.string())
+                yield pa.RecordBatch.from_pydict(out)
                 i = j
         bpe.cache = {}
 
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return rows.mapInArrow(tidy(run), f"doc_id {kind}, ids array<int>")
+    return rows.mapInArrow(tidy(run), f"doc_id {kind}, ids array<int>" + (", text string" if decoded else ""))
 
 
 def decode(encoded: DataFrame, vocabulary: str, *, keep: list[str] = ["doc_id"], ids: str = "ids") -> DataFrame:  # noqa: B006

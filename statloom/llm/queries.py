@@ -54,10 +54,9 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def tokenized(docs: DataFrame, path: str, *keep: str) -> DataFrame:
     """doc_id, n_tokens, digests of the ids and of the decoded text, and the ``keep`` columns (ids)."""
-    encoded = bpe.encode(docs, path)
-    digests = encoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"), "ids")
-    out = bpe.decode(digests, path, keep=["doc_id", "n_tokens", "ids_sha256", *keep])
-    return out.select("doc_id", "n_tokens", "ids_sha256", F.sha2("text", 256).alias("decoded_sha256"), *keep)
+    out = bpe.encode(docs, path, decoded=True)
+    ids_text = F.array_join(F.col("ids").cast("array<string>"), ",")
+    return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids_text, 256).alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256"), *keep)
 
 
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
