@@ -97,11 +97,18 @@ def replay_buffer(df: DataFrame, order: str, capacity: int) -> DataFrame:
 
 
 def prioritized_weights(df: DataFrame, priority: str, alpha: float = 0.6, beta: float = 0.4) -> DataFrame:
-    """df with prob and weight, the largest weight being 1."""
+    """df with prob and weight, the largest weight being 1.
+
+    As in SQL over doubles: a priority of 0 has an infinite weight before scaling, so that it becomes NaN and all others 0;
+    NaN also where all priorities are 0 or one is negative. A missing priority has neither prob nor weight.
+    """
     p = F.pow(F.col(priority).cast("double"), F.lit(alpha))
     total = df.agg(F.sum(p).alias("s"), F.count("*").alias("n"), F.min(p).alias("least")).first()
-    prob = p / total["s"]
-    top = (total["n"] * total["least"] / total["s"]) ** -beta if total["n"] else 1.0
+    if total["s"] is None:
+        return df.withColumns({"prob": p, "weight": p})
+    prob = p / total["s"] if total["s"] else p * float("nan")
+    least = total["n"] * total["least"] / total["s"] if total["s"] else float("nan")
+    top = least**-beta if least else float("inf")
     return df.withColumns({"prob": prob, "weight": F.pow(total["n"] * prob, F.lit(-beta)) / top})
 
 

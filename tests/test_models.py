@@ -380,3 +380,17 @@ def test_discounted_returns_of_long_episodes(spark):
         for _, t, r, d in sorted((x for x in rows if x[0] == user), key=lambda x: -x[1]):
             g = r + (0.0 if d else 0.97 * g)
             assert got[(user, t)] == pytest.approx(g, abs=1e-9)
+
+
+@pytest.mark.parametrize("values", ["0.0, 1.0, 2.5", "0.0, 0.0", "NULL, 1.0, 2.0", "NULL", "-1.0, 2.0", "3.0, 0.5, 0.5"])
+def test_priorities_of_zero(spark, values, tmp_path):
+    """As DuckDB: events of value 0, of none, and below 0."""
+    duckdb = pytest.importorskip("duckdb")
+    from statloom.plans import catalogue
+
+    con = duckdb.connect()
+    con.execute(f"CREATE TABLE events AS SELECT row_number() OVER () AS event_id, v::DOUBLE AS value FROM (SELECT unnest([{values}]) AS v)")
+    con.execute(f"COPY events TO '{tmp_path}/events.parquet' (FORMAT parquet)")
+    plain = lambda rows: sorted(str(tuple(r)) for r in rows)
+    got = catalogue.queries()["prioritized_replay"](spark, str(tmp_path)).collect()
+    assert plain(got) == plain(con.execute(catalogue.oracle_sql()["prioritized_replay"]).fetchall())
