@@ -86,30 +86,87 @@ class MultinomialNB:
         return df.withColumn(name, _best(scores, [c for c, _, _ in self.classes]))
 
 
-def nearest(queries: DataFrame, train: DataFrame, k: int, *, query_id: str = "query_id", train_id: str = "train_id", features: str = "features", metric: str = "euclidean", p: float = 3.0, exclude_same: bool = False) -> DataFrame:
-    """query_id, train_id, distance, rank: exact k nearest; ties go to the smaller train id.
+def nearest(queries: DataFrame, train: DataFrame, k: int, *, query_id: str = "query_id", train_id: str = "train_id", features: str = "features", metric: str = "euclidean", p: float = 3.0, exclude_same: bool = False, by: str | None = None) -> DataFrame:
+    """query_id, train_id, distance, rank: exact k nearest; ties go to the smaller train id. With ``by`` only rows of equal ``by`` are compared.
 
     The training side is broadcast if a count shows it small; otherwise it is dealt into blocks of that size, every
-    block gives each query its k nearest, and the blocks' answers are merged.
+    block gives each query its k nearest, and the blocks' answers are merged. Euclidean neighbours are searched in numpy,
+    where distances that are not numbers come last; no pair leaves its task but the k nearest.
     """
     if metric not in DISTANCES:
         raise InvalidParameter("metric", metric)
-    q = queries.select(F.col(query_id).alias("query_id"), F.col(features).cast("array<double>").alias("_q"))
-    t = train.select(F.col(train_id).alias("train_id"), F.col(features).cast("array<double>").alias("_t"))
+    group = F.lit(0) if by is None else F.col(by)
+    q = queries.select(F.col(query_id).alias("query_id"), F.col(features).cast("array<double>").alias("_q"), group.alias("_qg"))
+    t = train.select(F.col(train_id).alias("train_id"), F.col(features).cast("array<double>").alias("_t"), group.alias("_tg"))
+    if exclude_same:
+        q, t = q.where("query_id is not null"), t.where("train_id is not null")
     n = t.count()
     blocks = max(1, -(-n // BROADCAST_ROWS))
+    if metric == "euclidean":
+        return _nearest_euclidean(q, t, k, blocks, exclude_same)
     out = None
     for b in range(blocks):
         part = t if blocks == 1 else t.where(F.pmod(F.xxhash64("train_id"), F.lit(blocks)) == b)
-        pairs = q.join(F.broadcast(part), F.col("query_id") != F.col("train_id") if exclude_same else F.lit(True))
+        alike = F.col("_qg") == F.col("_tg")
+        pairs = q.join(F.broadcast(part), alike & (F.col("query_id") != F.col("train_id")) if exclude_same else alike)
         d = DISTANCES[metric](F.col("_q"), F.col("_t"), p) if metric == "minkowski" else DISTANCES[metric](F.col("_q"), F.col("_t"))
         best = _top(pairs.select("query_id", "train_id", d.alias("distance")), k)
         out = best if out is None else out.unionByName(best)
     return out if blocks == 1 else _top(out.drop("rank"), k)
 
 
+def _nearest_euclidean(q: DataFrame, t: DataFrame, k: int, blocks: int, exclude_same: bool) -> DataFrame:
+    spark = q.sparkSession
+    q, t = q.where("_qg is not null"), t.where("_tg is not null")
+    schema = f"query_id {dict(q.dtypes)['query_id']}, train_id {dict(t.dtypes)['train_id']}, distance double, rank int"
+    # So many rows of queries in a task that some thousands share the cost of an index.
+    q = q.repartition(max(1, min(-(-q.count() // 2000), 4 * spark.sparkContext.defaultParallelism)))
+    out = None
+    for b in range(blocks):
+        part = t if blocks == 1 else t.where(F.pmod(F.xxhash64("train_id"), F.lit(blocks)) == b)
+        table = part.toArrow().sort_by("train_id").combine_chunks()
+        shared = spark.sparkContext.broadcast(table)
+        best = q.mapInArrow(_search(shared, k, exclude_same), schema)
+        if blocks > 1:
+            best = cut_lineage(best if out is None else _top(out.unionByName(best).drop("rank"), k))
+            shared.unpersist()
+        out = best
+    return out
+
+
+def _search(shared, k: int, exclude_same: bool):
+    def run(batches):
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        from statloom.operators import neighbours
+
+        table = shared.value
+        ids, groups = (table.column(c).combine_chunks() for c in ("train_id", "_tg"))
+        if not len(ids):
+            return
+        x, holes = neighbours.matrix(table.column("_t"))
+        first_id, first_group = (pc.unique(v) for v in (ids, groups))
+        place = lambda v, among: pc.fill_null(pc.index_in(v, value_set=among), -1).to_numpy(zero_copy_only=False).astype(int)
+        x[holes] = np.nan
+        index = neighbours.Index(x, place(ids, first_id) if exclude_same else np.zeros(len(ids), int), place(groups, first_group))
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            qid = batch.column("query_id")
+            y, none = neighbours.matrix(batch.column("_q"), x.shape[1])
+            y[none] = np.nan
+            same = place(qid, first_id) if exclude_same else np.full(len(y), -1)
+            at, d = index.search(y, same, place(batch.column("_qg"), first_group), k)
+            i, r = np.nonzero(at >= 0)
+            null = none[i] | holes[at[i, r]]
+            yield pa.RecordBatch.from_arrays([qid.take(pa.array(i)), ids.take(pa.array(at[i, r])), pa.array(d[i, r], mask=null), pa.array((r + 1).astype(np.int32))], names=["query_id", "train_id", "distance", "rank"])
+
+    return run
+
+
 def _top(pairs: DataFrame, k: int) -> DataFrame:
-    w = Window.partitionBy("query_id").orderBy("distance", "train_id")
+    w = Window.partitionBy("query_id").orderBy(F.asc_nulls_last("distance"), "train_id")
     return pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 

@@ -1,5 +1,7 @@
 """Models, clustering, series, panels, space, processes, networks, streams: fixtures and cross-checks."""
 
+import math
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -394,3 +396,30 @@ def test_priorities_of_zero(spark, values, tmp_path):
     plain = lambda rows: sorted(str(tuple(r)) for r in rows)
     got = catalogue.queries()["prioritized_replay"](spark, str(tmp_path)).collect()
     assert plain(got) == plain(con.execute(catalogue.oracle_sql()["prioritized_replay"]).fetchall())
+
+
+def test_neighbours_leave_no_pairs(spark):
+    """Against brute force over ties, equal rows, missing and odd vectors; no join makes rows of pairs, only neighbours leave a task."""
+    rng = np.random.RandomState(5)
+    for width in (2, 12):
+        x = [rng.randint(0, 4, width).astype(float).tolist() for _ in range(150)] + rng.normal(size=(150, width)).tolist()
+        rows = [(i, v, i % 2) for i, v in enumerate(x)] + [(300, None, 0), (301, [1.0], 1), (302, [float("nan")] * width, 0), (303, [None] * width, 1)]
+        df = spark.createDataFrame(rows, "id long, p array<double>, g int").repartition(5)
+        for by in (None, "g"):
+            out = models.nearest(df, df, 4, query_id="id", train_id="id", features="p", exclude_same=True, by=by)
+            got = {}
+            for r in out.collect():
+                got.setdefault(r.query_id, {})[r["rank"]] = r.train_id
+
+            def far(a, b):
+                if a is None or b is None or len(a) != len(b) or None in a or None in b:
+                    return float("inf")
+                d = 0.0
+                for u, v in zip(a, b, strict=True):
+                    d += (u - v) * (u - v)
+                return float("inf") if d != d else math.sqrt(d)
+
+            for i, v, g in rows:
+                near = sorted((far(v, w), j) for j, w, h in rows if j != i and (by is None or g == h))
+                assert [got[i][k] for k in (1, 2, 3, 4)] == [j for _, j in near[:4]]
+        assert "Join" not in spatial.weights_knn(df, "id", "p", 3)._jdf.queryExecution().toString()
