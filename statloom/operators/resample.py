@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ..errors import InvalidParameter
 from ..frames import cut_lineage
 from ..functions.scalar import euclidean
+from .models import nearest
 
 
 def numbered(df: DataFrame, order: list[str | Column], name: str = "rn") -> DataFrame:
@@ -200,25 +201,34 @@ def smote(df: DataFrame, id_column: str, features: str, label: str, k: int = 5,
     if not need:
         return base
     some = base.where(F.col(label).isin(list(need)))
-    other = some.select(F.col(id_column).alias("_nid"), F.col(features).alias("_nf"), F.col(label).alias("_nl"))
-    pairs = some.join(other, (some[label] == other["_nl"]) & (some[id_column] != other["_nid"]))
-    near = pairs.withColumn("_d", euclidean(F.col(features), F.col("_nf")))
-    near = near.withColumn("_r", F.row_number().over(Window.partitionBy(id_column).orderBy("_d", "_nid"))).where(F.col("_r") <= k)
-    lists = near.groupBy(id_column, label).agg(F.first(features).alias("_f"), F.sort_array(F.collect_list(F.struct("_r", "_nf"))).alias("_ns"))
+    near = nearest(some, some, k, query_id=id_column, train_id=id_column, features=features, exclude_same=True, by=label)
+    lists = near.groupBy(F.col("query_id").alias(id_column)).agg(_ids(F.lit(True))).join(some.select(id_column, label), id_column)
     ranked = lists.withColumn("_rn", F.row_number().over(Window.partitionBy(label).orderBy(id_column)) - 1)
     spark = df.sparkSession
     new = spark.createDataFrame([(c, n, sizes[c]) for c, n in need.items()], f"{label} {dict(df.dtypes)[label]}, _need long, _size long")
     new = new.withColumn("_draw", F.explode(F.sequence(F.lit(1).cast("long"), "_need")))
     new = new.withColumn("_rn", F.pmod(F.xxhash64(label, "_draw", F.lit(seed)), "_size").cast("int"))
     made = new.join(ranked, [label, "_rn"])
-    pick = F.get("_ns", F.pmod(F.xxhash64(label, "_draw", F.lit(seed + 1)), F.size("_ns")).cast("int"))["_nf"]
+    pick = F.get("_ns", F.pmod(F.xxhash64(label, "_draw", F.lit(seed + 1)), F.size("_ns")).cast("int"))
     alpha = F.pmod(F.xxhash64(label, "_draw", F.lit(seed + 2)), F.lit(1 << 30)) / float(1 << 30)
-    made = made.withColumns({"_pick": pick, "_alpha": alpha})
-    point = F.zip_with("_f", "_pick", lambda a, b: a + F.col("_alpha") * (b - a))
-    made = made.select(F.lit(None).cast(dict(df.dtypes)[id_column]).alias(id_column), point.alias(features), label, F.lit(True).alias("synthetic"))
+    made = _between(made.withColumns({"_pick": pick, "_alpha": alpha}), some, id_column, features)
+    made = made.select(F.lit(None).cast(dict(df.dtypes)[id_column]).alias(id_column), features, label, F.lit(True).alias("synthetic"))
     return base.unionByName(made)
 
 
+def _ids(wanted: Column) -> Column:
+    """_ns: the ids of the wanted neighbours, nearest first."""
+    ranked = F.sort_array(F.collect_list(F.when(wanted, F.struct("rank", "train_id"))))
+    return F.transform(ranked, lambda s: s["train_id"]).alias("_ns")
+
+
+def _between(made: DataFrame, rows: DataFrame, id_column: str, features: str) -> DataFrame:
+    """made with the point at ``_alpha`` of the way from the row of id_column to that of ``_pick``."""
+    one = rows.groupBy(id_column).agg(F.first(features).alias("_f"))
+    made = made.join(one, id_column).join(one.select(F.col(id_column).alias("_pick"), F.col("_f").alias("_p")), "_pick")
+    return made.withColumn(features, F.zip_with("_f", "_p", lambda a, b: a + F.col("_alpha") * (b - a)))
+
+
 def adasyn(df: DataFrame, id_column: str, features: str, label: str, k: int = 5, beta: float = 1.0, seed: int = 0) -> DataFrame:
     """Oversamples the rarest class; rows with more other-class rows among their k nearest get more synthetic ones."""
     sizes = {r[label]: r["n"] for r in df.groupBy(label).agg(F.count("*").alias("n")).collect()}

@@ -175,3 +175,25 @@ def test_pipeline_of_steps(spark):
         p.transform(df)
     out = p.fit(df).predict(df)
     assert out.where("prediction <> y").count() == 0 and out.where("a is null").count() == 0
+
+
+def oversampled(f, df, k):
+    """Synthetic points, each of which lies between a row of its class and one of the k nearest rows of its class or of all."""
+    out = f(df, "id", "features", "label", k)
+    assert "NOT (" not in out._jdf.queryExecution().toString()  # no join of every row with every other
+    return [r for r in out.collect() if r.synthetic]
+
+
+def test_smote_without_pairs(spark):
+    rng = np.random.RandomState(4)
+    rows = [(i, rng.normal(size=3), int(i % 4 == 0)) for i in range(200)]
+    df = spark.createDataFrame([(i, x.tolist(), c) for i, x, c in rows], "id long, features array<double>, label int").repartition(3)
+    made = oversampled(resample.smote, df, 3)
+    assert len(made) == 100
+    segments = []
+    for i, x, c in rows:
+        near = sorted((float(((x - y) ** 2).sum()), j) for j, y, d in rows if j != i and d == c)[:3]
+        segments += [(x, rows[j][1]) for _, j in near if c == rows[j][2] == 1]
+    for r in made:
+        p = np.array(r.features)
+        assert r.label == 1 and min(abs(np.linalg.norm(p - a) + np.linalg.norm(p - b) - np.linalg.norm(a - b)) for a, b in segments) < 1e-9
