@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 
 from ..errors import InvalidParameter
 from ..frames import cut_lineage
-from ..functions.scalar import euclidean
 from .models import nearest
 
 
@@ -236,20 +235,18 @@ def adasyn(df: DataFrame, id_column: str, features: str, label: str, k: int = 5,
     total = int((max(sizes.values()) - sizes[rare]) * beta)
     base = df.select(id_column, F.col(features).cast("array<double>").alias(features), label).withColumn("synthetic", F.lit(False))
     few = base.where(F.col(label) == rare)
-    other = base.select(F.col(id_column).alias("_nid"), F.col(features).alias("_nf"), F.col(label).alias("_nl"))
-    near = other.join(F.broadcast(few) if sizes[rare] < 10_000 else few, other["_nid"] != few[id_column])
-    near = near.withColumn("_d", euclidean(F.col(features), F.col("_nf")))
-    near = near.withColumn("_r", F.row_number().over(Window.partitionBy(id_column).orderBy("_d", "_nid"))).where(F.col("_r") <= k)
-    g = near.groupBy(id_column).agg(F.first(features).alias("_f"), F.avg(F.when(F.col("_nl") != rare, 1.0).otherwise(0.0)).alias("_g"), F.sort_array(F.collect_list(F.when(F.col("_nl") == rare, F.struct("_r", "_nf")))).alias("_ns"))
+    near = nearest(few, base, k, query_id=id_column, train_id=id_column, features=features, exclude_same=True)
+    near = near.join(base.select(F.col(id_column).alias("train_id"), F.col(label).alias("_nl")), "train_id")
+    other = F.avg(F.when(F.col("_nl") != rare, 1.0).otherwise(0.0)).alias("_g")
+    g = cut_lineage(near.groupBy(F.col("query_id").alias(id_column)).agg(other, _ids(F.col("_nl") == rare)))
     mass = g.agg(F.sum("_g")).first()[0] or 0.0
     if not mass or total <= 0:
         return base
     new = g.withColumn("_n", F.round(F.col("_g") / mass * total).cast("int")).where("_n > 0 and size(_ns) > 0").withColumn("_draw", F.explode(F.sequence(F.lit(1), "_n")))
-    pick = F.get("_ns", F.pmod(F.xxhash64(id_column, "_draw", F.lit(seed)), F.size("_ns")).cast("int"))["_nf"]
+    pick = F.get("_ns", F.pmod(F.xxhash64(id_column, "_draw", F.lit(seed)), F.size("_ns")).cast("int"))
     alpha = F.pmod(F.xxhash64(id_column, "_draw", F.lit(seed + 1)), F.lit(1 << 30)) / float(1 << 30)
-    new = new.withColumns({"_pick": pick, "_alpha": alpha})
-    point = F.zip_with("_f", "_pick", lambda a, b: a + F.col("_alpha") * (b - a))
-    made = new.select(F.lit(None).cast(dict(df.dtypes)[id_column]).alias(id_column), point.alias(features), F.lit(rare).cast(dict(df.dtypes)[label]).alias(label), F.lit(True).alias("synthetic"))
+    new = _between(new.withColumns({"_pick": pick, "_alpha": alpha}), base, id_column, features)
+    made = new.select(F.lit(None).cast(dict(df.dtypes)[id_column]).alias(id_column), features, F.lit(rare).cast(dict(df.dtypes)[label]).alias(label), F.lit(True).alias("synthetic"))
     return base.unionByName(made)
 
 

@@ -197,3 +197,18 @@ def test_smote_without_pairs(spark):
     for r in made:
         p = np.array(r.features)
         assert r.label == 1 and min(abs(np.linalg.norm(p - a) + np.linalg.norm(p - b) - np.linalg.norm(a - b)) for a, b in segments) < 1e-9
+
+
+def test_adasyn_without_pairs(spark):
+    rng = np.random.RandomState(4)
+    rows = [(i, rng.normal(size=3), int(i % 4 == 0)) for i in range(200)]
+    df = spark.createDataFrame([(i, x.tolist(), c) for i, x, c in rows], "id long, features array<double>, label int").repartition(3)
+    made = oversampled(resample.adasyn, df, 3)
+    assert len(made) > 30
+    segments = []
+    for i, x, c in rows:
+        near = sorted((float(((x - y) ** 2).sum()), j) for j, y, d in rows if j != i)[:3]
+        segments += [(x, rows[j][1]) for _, j in near if c == rows[j][2] == 1]
+    for r in made:
+        p = np.array(r.features)
+        assert r.label == 1 and min(abs(np.linalg.norm(p - a) + np.linalg.norm(p - b) - np.linalg.norm(a - b)) for a, b in segments) < 1e-9
