@@ -5,10 +5,10 @@ A unit is normalised (lower case; everything but a-z and 0-9 is one space) and c
 the Dice coefficient over distinct word bigrams. A unit of b bigrams can reach a coefficient of t with a template of m
 bigrams only if t m / (2 - t) <= b <= m (2 - t) / t; other templates are not intersected.
 
-Spans begin and end with a bigram of the template (others can only lower the coefficient), run over line ends and have
-at most m (2 - t) / t word pairs. They are also compared with the full licence texts and further headers in ``texts()``,
-and only where the text has the t m / (2 - t) bigrams that any span needs. For templates of more than ``FINE`` bigrams
-the ends are tried at every (m // FINE)-th bigram of the template, so the coefficient of a span may come out a little low.
+Spans run over line ends and are of any length. Only those that begin and end with a bigram of the template and hold their
+first bigram once are tried, all of them; others have no higher coefficient. They are also compared with the full
+licence texts and further headers in ``texts()``, and only where the text has the t m / (2 - t) bigrams that any span needs.
+A beginning is passed over if all template bigrams from there on cannot give more than the best span so far.
 
 The best template of a text is the one of highest coefficient, the first in the list among equals, for spans the
 longest. Nothing is shuffled.
@@ -52,9 +52,6 @@ TEMPLATES = [
 ]
 
 
-#: Ends of spans are tried at every bigram of templates of up to this many bigrams.
-FINE = 200
-
 #: (licence, text) of headers that are told from those above by a few words.
 HEADERS = [
     ("GPL-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."),
@@ -108,25 +105,35 @@ def _span_score(g: Column, hashed: list[np.ndarray], threshold: float) -> Column
 
     def against(k: int, own: Column) -> Column:
         known, m = F.lit(hashed[k]), len(hashed[k])
-        step = max(1, m // FINE)
         need, most = max(1, math.ceil(threshold * m / (2 - threshold) - 1e-9)), math.floor(m * (2 - threshold) / threshold + 1e-9)
 
-        def dice(begin: Column, end: Column) -> Column:
-            span = F.array_distinct(F.slice(g, begin + 1, end - begin + 1))
-            return _let(span, lambda s: (2.0 * F.size(F.array_intersect(s, known))) / (F.size(s) + m))
+        def best(codes: Column, some: Column) -> Column:
+            def reach(p: Column, length: Column) -> Column:
+                """The different bigrams of so many places from p on, and the best coefficient of the spans that end at a hit."""
+
+                def dice(new: Column) -> Column:
+                    sizes = F.array_compact(F.transform(new, lambda c, j: F.when(c.bitwiseAND(1) == 1, j + 1)))
+                    return F.struct(F.size(new).alias("size"), F.array_max(F.transform(sizes, lambda s, r: (2.0 * (r + 1)) / (s + m))).alias("dice"))
+
+                return _let(F.array_distinct(F.slice(codes, p + 1, length)), dice)
+
+            def one(p: Column) -> Column:
+                # Beyond ``most`` different bigrams no span reaches the threshold; nearly always 2 * most places hold them.
+                again = F.array_position(F.slice(codes, p + 2, F.size(codes)), F.get(codes, p))
+                whole = F.when(again > 0, again.cast("int")).otherwise(F.size(codes) - p)
+                return _let(reach(p, F.lit(2 * most)), lambda v: F.when((v["size"] <= most) & (p + 2 * most < F.size(codes)), F.greatest(v["dice"], reach(p, whole)["dice"])).otherwise(v["dice"]))
 
-        def best(at: Column) -> Column:
-            def from_one(begin: Column, a: Column) -> Column:
-                # Hits from the first that makes ``need`` of them to the last that the length allows.
-                later = F.slice(at, a + need, most)
-                ends = F.filter(later, lambda e, j: ((j % step == 0) | (a + need + j == F.size(at))) & (e - begin < most))
-                return F.coalesce(F.array_max(F.transform(ends, lambda e: dice(begin, e))), F.lit(0.0))
+            def step(acc: Column, p: Column) -> Column:
+                able = (acc["left"] >= need) & ((2.0 * F.least(acc["left"], some)) / (F.least(acc["left"], some) + m) > acc["dice"])
+                return F.struct(F.when(able, F.greatest(acc["dice"], one(p))).otherwise(acc["dice"]).alias("dice"), (acc["left"] - 1).alias("left"))
 
-            return F.array_max(F.transform(at, lambda b, a: F.when(a % step == 0, from_one(b, a)).otherwise(0.0)))
+            hits = F.array_compact(F.transform(codes, lambda c, i: F.when(c.bitwiseAND(1) == 1, i)))
+            return _let(hits, lambda at: F.aggregate(at, F.struct(F.lit(0.0).alias("dice"), F.size(at).alias("left")), step, lambda acc: acc["dice"]))
 
-        hits = F.array_compact(F.transform(g, lambda x, i: F.when(F.array_contains(known, x), i)))
+        # 63 bits of each hash, and 1 for a bigram of the template.
+        codes = F.transform(g, lambda x: x.bitwiseAND(-2).bitwiseOR(F.array_contains(known, x).cast("long")))
         some = F.when(F.size(own) >= need, F.size(F.array_intersect(own, known))).otherwise(0)
-        d = F.when(some >= need, _let(hits, best)).otherwise(0.0)
+        d = _let(some, lambda n: F.when(n >= need, _let(codes, lambda c: best(c, n))).otherwise(0.0))
         return _let(d, lambda v: F.struct(F.when(v >= threshold, v).otherwise(0.0).alias("dice"), F.lit(-k).alias("k")))
 
     return _let(F.array_distinct(g), lambda own: F.array_max(F.array(*[against(k, own) for k, h in enumerate(hashed) if len(h)])))

@@ -154,6 +154,30 @@ def test_licenses_over_lines(spark):
     assert all((got[i][1] >= 0.8) == (n is not None) for i, _, n in rows) and got[4][1] == 1.0
 
 
+def test_every_span_is_tried(spark):
+    """Against all spans by hand: a template of 450 bigrams, texts that hold parts of it, repeat it or end between its bigrams."""
+    r = random.Random(8)
+    words = ["w%d" % i for i in range(400)]
+    template = r.choices(words, k=460)
+    known = set(zip(template, template[1:]))  # noqa: B905
+    noise = lambda n: r.choices(words + ["x%d" % i for i in range(300)], k=n)
+    cut = [w for i, w in enumerate(template) if i % 23 or r.random() < 0.4]
+    texts = [noise(7) + template[a:b] + noise(9) for a, b in ((0, 460), (3, 380), (90, 460), (71, 381), (0, 306), (0, 308), (0, 311))]
+    texts += [noise(5) + cut[:400] + noise(5), template[:200] + noise(150) + template[200:] + noise(5), template[:150] * 3 + template[150:] + noise(3), template[300:] + template + template[:100]]
+    got = {x.doc_id: x.dice for x in license_scan.scan(frame(spark, [(i, " ".join(t)) for i, t in enumerate(texts)]), more=[("Long", " ".join(template))]).collect()}
+    for i, t in enumerate(texts):
+        g, best = list(zip(t, t[1:])), 0.0  # noqa: B905
+        for a in range(len(g)):
+            span, hits = set(), 0
+            for x in g[a:]:
+                if x not in span:
+                    span.add(x)
+                    hits += x in known
+                    best = max(best, 2 * hits / (len(span) + len(known)))
+        assert got[i] == pytest.approx(best if best >= license_scan.THRESHOLD else 0, abs=1e-12), i
+    assert sum(v > 0 for v in got.values()) >= 8 and min(got.values()) == 0
+
+
 def test_toxicity_held_out(spark):
     r = random.Random(4)
     bad = ["zorgling", "flarnish"]
