@@ -54,14 +54,29 @@ def features(data: np.ndarray, offs: np.ndarray, sep: np.ndarray = K.NOT_ALNUM)
     data = K.lowered(data)
     starts, ends, first = K.words(data, offs, sep)
     of = np.repeat(np.arange(len(offs) - 1), np.diff(first))
-    hashes, owners = [K.spans(data, starts, ends)], [of]
+    summed = K.totals(data)
+    hashes, owners = [K.spans(data, starts, ends, summed=summed)], [of]
     for n in BEGINNINGS:
-        longer = ends - starts > n
-        hashes.append(K.spans(data, starts[longer], starts[longer] + n))
-        owners.append(of[longer])
+        longer = np.flatnonzero(ends - starts > n)
+        starts, ends, of = starts[longer], ends[longer], of[longer]
+        hashes.append(K.spans(data, starts, starts + n, summed=summed))
+        owners.append(of)
     return (np.concatenate(hashes) >> _U(64 - SPACE_BITS)).astype(np.int64), np.concatenate(owners)
 
 
+#: The last features that ``places`` was asked for, and its table of them.
+_last: list[np.ndarray] = []
+
+
+def places(hashed: np.ndarray, among: np.ndarray) -> np.ndarray:
+    """The place of each feature in ``among`` (sorted), -1 for others: a table over all features is quicker than a search."""
+    if not _last or _last[0] is not among:
+        table = np.full(1 << SPACE_BITS, -1, np.int32)
+        table[among] = np.arange(len(among), dtype=np.int32)
+        _last[:] = among, table
+    return _last[1][hashed]
+
+
 @dataclass
 class Model:
     """Kept features (sorted hashes), their weights, the bias; constant if there was nothing to learn from."""
@@ -73,8 +88,8 @@ class Model:
     def score(self, hashed: np.ndarray, of: np.ndarray, n: int) -> np.ndarray:
         z = np.full(n, self.bias)
         if len(self.kept):
-            at = np.minimum(np.searchsorted(self.kept, hashed), len(self.kept) - 1)
-            hit = self.kept[at] == hashed
+            at = places(hashed, self.kept)
+            hit = np.flatnonzero(at >= 0)
             once = np.unique(of[hit] * len(self.kept) + at[hit])
             z += np.bincount(once // len(self.kept), self.weight[once % len(self.kept)], minlength=n)
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
@@ -144,9 +159,9 @@ def _distinct(data: np.ndarray, offs: np.ndarray, among: np.ndarray | None) -> t
     if among is not None:
         if not len(among):
             return of[:0], hashed[:0]
-        at = np.minimum(np.searchsorted(among, hashed), len(among) - 1)
-        hit = among[at] == hashed
-        hashed, of = at[hit], of[hit]
+        at = places(hashed, among)
+        hit = np.flatnonzero(at >= 0)
+        hashed, of = at[hit].astype(np.int64), of[hit]
     once = np.unique((of << SPACE_BITS) | hashed)
     return once >> SPACE_BITS, once & ((1 << SPACE_BITS) - 1)
 

@@ -200,6 +200,28 @@ def test_toxicity_held_out(spark):
     assert max(abs(scores[x.doc_id] - x.score) for x in again) < 1e-9
 
 
+def test_toxicity_features_sum_bytes_once(monkeypatch):
+    """The hashes of words and of all beginnings come from one sum over the bytes; places of features as by a search."""
+    texts = ["Abcdefghij abc, abcde", "", "xyzzy " * 50, "wörter über alles"]
+    data = np.frombuffer("".join(texts).encode(), np.uint8)
+    offs = np.cumsum([0] + [len(t.encode()) for t in texts])
+    want = []
+    for i, t in enumerate(texts):
+        low = np.frombuffer(t.lower().encode(), np.uint8)
+        starts, ends, _ = toxicity.K.words(low, np.array([0, len(low)]), toxicity.K.NOT_ALNUM)
+        for a, b in zip(starts, ends, strict=True):
+            cuts = [b, *[a + n for n in toxicity.BEGINNINGS if b - a > n]]
+            want += [(i, int(toxicity.K.spans(low, np.array([a]), np.array([c]))[0]) >> (64 - toxicity.SPACE_BITS)) for c in cuts]
+    sums = []
+    cumsum = np.cumsum
+    monkeypatch.setattr(np, "cumsum", lambda *a, **k: (sums.append(1), cumsum(*a, **k))[1])
+    hashed, of = toxicity.features(data, offs)
+    assert len(sums) == 1 and sorted(zip(of.tolist(), hashed.tolist(), strict=True)) == sorted(want)
+    for among in (np.unique(hashed)[::3], np.unique(hashed)[1:2]):
+        got = toxicity.places(hashed, among)
+        assert all((among[p] == h) if p >= 0 else h not in among for p, h in zip(got, hashed, strict=True))
+
+
 def test_toxicity_without_data(spark):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     docs = frame(spark, [(1, "a b"), (1, "a b"), (None, None)])
