@@ -423,3 +423,17 @@ def test_neighbours_leave_no_pairs(spark):
                 near = sorted((far(v, w), j) for j, w, h in rows if j != i and (by is None or g == h))
                 assert [got[i][k] for k in (1, 2, 3, 4)] == [j for _, j in near[:4]]
         assert "Join" not in spatial.weights_knn(df, "id", "p", 3)._jdf.queryExecution().toString()
+
+
+@pytest.mark.parametrize("name", ["umap"])
+def test_whole_table_beyond_one_block(spark, monkeypatch, name):
+    """More rows than one task compares: every row has a finite result, and near rows stay together."""
+    monkeypatch.setattr(cluster, "SMALL", 60)
+    rng = np.random.RandomState(9)
+    x = np.concatenate([rng.normal(c, 0.1, (50, 6)) for c in (0.0, 3.0)])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, x array<double>").repartition(4)
+    out = {r.id: r.embedding for r in getattr(decomposition, name)(df, "id", "x").collect()}
+    y = np.array([out[i] for i in range(100)])
+    assert np.isfinite(y).all() and y.shape == (100, 2)
+    d = np.linalg.norm(y[:, None] - y[None], axis=2) + 1e9 * np.eye(100)
+    assert (d.argmin(1) // 50 == np.arange(100) // 50).mean() > 0.9
