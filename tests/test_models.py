@@ -437,3 +437,16 @@ def test_whole_table_beyond_one_block(spark, monkeypatch, name):
     assert np.isfinite(y).all() and y.shape == (100, 2)
     d = np.linalg.norm(y[:, None] - y[None], axis=2) + 1e9 * np.eye(100)
     assert (d.argmin(1) // 50 == np.arange(100) // 50).mean() > 0.9
+
+
+@pytest.mark.parametrize("name, options", [("hierarchical", (4, "ward"))])
+def test_blocks_give_the_same_clusters(spark, monkeypatch, name, options):
+    """Beyond SMALL rows the work goes by blocks; the clusters are those of one task, with equal rows among them."""
+    rng = np.random.RandomState(11)
+    x = np.concatenate([rng.normal(c, 0.5, (60, 3)) for c in (0.0, 1.5, 4.0, 4.5)] + [np.ones((5, 3))])
+    df = spark.createDataFrame([(i * 3, v.tolist()) for i, v in enumerate(x)], "id long, x array<double>").repartition(4)
+    whole = {r.id: r.cluster for r in getattr(cluster, name)(df, "id", "x", *options).collect()}
+    monkeypatch.setattr(cluster, "SMALL", 50)
+    monkeypatch.setattr(cluster, "TILE", 37)
+    assert {r.id: r.cluster for r in getattr(cluster, name)(df, "id", "x", *options).collect()} == whole
+    assert 1 < len(set(whole.values())) < 100
