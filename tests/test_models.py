@@ -439,7 +439,7 @@ def test_whole_table_beyond_one_block(spark, monkeypatch, name):
     assert (d.argmin(1) // 50 == np.arange(100) // 50).mean() > 0.9
 
 
-@pytest.mark.parametrize("name, options", [("hierarchical", (4, "ward")), ("mean_shift", (1.2, 50))])
+@pytest.mark.parametrize("name, options", [("hierarchical", (4, "ward")), ("mean_shift", (1.2, 50)), ("spectral", (3, 0.3))])
 def test_blocks_give_the_same_clusters(spark, monkeypatch, name, options):
     """Beyond SMALL rows the work goes by blocks; the clusters are those of one task, with equal rows among them."""
     rng = np.random.RandomState(11)
