@@ -439,6 +439,19 @@ def test_whole_table_beyond_one_block(spark, monkeypatch, name):
     assert (d.argmin(1) // 50 == np.arange(100) // 50).mean() > 0.9
 
 
+def test_tsne_by_blocks(spark, monkeypatch):
+    """The steps over blocks are those of one task, floor of the probabilities included, while rounding has not grown."""
+    rng = np.random.RandomState(12)
+    x = np.concatenate([rng.normal(c, 0.3, (40, 4)) for c in (0.0, 2.0, 9.0)])
+    df = spark.createDataFrame([(i * 2, v.tolist()) for i, v in enumerate(x)], "id long, x array<double>").repartition(3)
+    whole = {r.id: r.embedding for r in decomposition.tsne(df, "id", "x", perplexity=5, rate=20.0, steps=12).collect()}
+    monkeypatch.setattr(cluster, "SMALL", 50)
+    got = {r.id: r.embedding for r in decomposition.tsne(df, "id", "x", perplexity=5, rate=20.0, steps=12).collect()}
+    assert sorted(got) == sorted(whole)
+    size = max(abs(v) for y in whole.values() for v in y)
+    assert size > 1e-3 and all(got[i] == pytest.approx(whole[i], abs=1e-4 * size) for i in whole)
+
+
 @pytest.mark.parametrize("name, options", [("hierarchical", (4, "ward")), ("mean_shift", (1.2, 50)), ("spectral", (3, 0.3))])
 def test_blocks_give_the_same_clusters(spark, monkeypatch, name, options):
     """Beyond SMALL rows the work goes by blocks; the clusters are those of one task, with equal rows among them."""
