@@ -4,7 +4,8 @@ A text's set is that of its distinct k-word shingles (64-bit hashes). Two sets w
 ``num``/``den`` or more differ in at most D = (a + b) (den - num) / (den + num) shingles. Sets are dealt into size
 bands; in a band every shingle flips one bit of a sketch that is cut into P parts, P greater than the band's D: each
 differing shingle changes one part at most, so similar sets agree in at least P - D parts (pigeonhole). A
-part is compared by the XOR of its shingles' hashes, and equal parts meet in one shuffle.
+part is compared by the XOR of its shingles' hashes, and equal parts meet in one shuffle: keys are dealt into buckets and travel
+as packs, one row for a bucket's keys out of many sets, so that the JVM neither holds nor sorts a row per key.
 
 * Empty parts are the same in all sets and therefore no keys. A set's slack is the number of parts it must share
   with any partner, less its empty parts, less one; only a set whose slack is negative makes its empty parts keys.
@@ -41,6 +42,10 @@ from .graph import components, sorted_groups
 GROUP = 32
 #: Shingles that meet in one verifying task: twice this many at most, but for a single longer pair.
 BLOCK_SHINGLES = 2_000_000
+#: Keys of one bucket, on average at most; a bucket's keys are sorted by one task.
+BUCKET = 200_000
+#: Keys that a task packs at a time, and keys of a bucket that are held until its hot ones are settled.
+PACK, MEET = 1 << 19, 4_000_000
 #: Growth of the size bands.
 BAND = 1.75
 _U = np.uint64
@@ -148,12 +153,33 @@ def _texts(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
 
 
-def _keys(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """key, cls of every set, once for equal sets that one task meets."""
+def _bits(shingles: int, partitions: int) -> int:
+    """Leading bits of a key that make its bucket: several buckets a partition, of about BUCKET keys (two a shingle)."""
+    return max(2 * shingles // BUCKET, 4 * partitions, 2).bit_length()
+
+
+def _packed(keys: np.ndarray, cls: np.ndarray, bits: int) -> Iterator[pa.RecordBatch]:
+    """bucket, pack: the keys of each bucket, each followed by its class, as 64-bit numbers."""
+    for i in range(0, len(keys), 1 << 22):
+        some, own = keys[i : i + (1 << 22)], cls[i : i + (1 << 22)]
+        order = np.argsort(some >> (64 - bits), kind="stable")
+        rows = np.empty((len(some), 2), np.int64)
+        rows[:, 0], rows[:, 1] = some[order], own[order]
+        bucket = rows[:, 0] >> (64 - bits)
+        cut = np.concatenate(([0], np.flatnonzero(np.diff(bucket)) + 1))
+        ends = pa.py_buffer((np.append(cut, len(rows)) * 16).astype(np.int32))
+        packs = pa.Array.from_buffers(pa.binary(), len(cut), [None, ends, pa.py_buffer(rows)])
+        yield pa.RecordBatch.from_arrays([pa.array(bucket[cut]), packs], names=["bucket", "pack"])
+
+
+def _keys(docs: DataFrame, k: int, num: int, den: int, bits: int) -> DataFrame:
+    """bucket, pack: keys with the classes of every set, once for equal sets that one task meets."""
 
     def run(batches):
         bands = Bands(num, den)
         seen: set[int] = set()
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        rows = 0
         for batch in batches:
             for _, data, offs in chunks(batch, "text"):
                 sets, begin = shingle_sets(data, offs, k)
@@ -170,9 +196,81 @@ def _keys(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
                 own = np.concatenate([sets[begin[i] : begin[i + 1]] for i in fresh])
                 size = np.array([begin[i + 1] - begin[i] for i in fresh])
                 keys, owner, _ = part_keys(own, np.concatenate(([0], np.cumsum(size))), bands)
-                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(cls[fresh][owner])], names=["key", "cls"])
+                held.append((keys.view(np.int64), cls[fresh][owner]))
+                rows += len(keys)
+                if rows >= PACK:
+                    yield from _packed(*(np.concatenate(x) for x in zip(*held, strict=True)), bits)
+                    held, rows = [], 0
+        if rows:
+            yield from _packed(*(np.concatenate(x) for x in zip(*held, strict=True)), bits)
 
-    return docs.where("doc_id is not null").mapInArrow(tidy(run), "key long, cls long")
+    return docs.where("doc_id is not null").mapInArrow(tidy(run), "bucket long, pack binary")
+
+
+def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray]]:
+    """Buckets with their rows of key and class; a bucket may come in several parts, one after the other."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        bucket, col = batch.column("bucket").to_numpy(), batch.column("pack").cast(pa.large_binary())
+        offs = np.frombuffer(col.buffers()[1], np.int64)[col.offset : col.offset + len(col) + 1]
+        data = np.frombuffer(col.buffers()[2], np.uint8)
+        cuts = [0, *(np.flatnonzero(np.diff(bucket)) + 1).tolist(), len(bucket)]
+        for i, j in zip(cuts[:-1], cuts[1:], strict=True):
+            yield int(bucket[i]), data[offs[i] : offs[j]].view(np.int64).reshape(-1, 2)
+
+
+def _meet_packs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What ``_meet`` gives for packs sorted by bucket.
+
+    A bucket of more than MEET keys settles its hot keys early: their members are linked to the first one met so far,
+    and so are all that follow. A member met twice is then counted twice, which only admits more candidates.
+    """
+    held: list[np.ndarray] = []
+    hot: dict[int, int] = {}
+    at, size, most = None, 0, MEET
+
+    def in_order():
+        rows = np.concatenate(held)
+        return rows[np.lexsort((rows[:, 1], rows[:, 0]))]
+
+    def whole():
+        if size:
+            rows = in_order()
+            yield from _meet(iter([pa.RecordBatch.from_arrays([pa.array(rows[:, 0].copy()), pa.array(rows[:, 1].copy())], names=["key", "cls"])]))
+
+    def links(rows):
+        for i in range(0, len(rows), 1 << 16):
+            part = rows[i : i + (1 << 16)]
+            first = np.array([hot[x] for x in part[:, 0].tolist()], np.int64)
+            n = np.ones(len(part), np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(n.astype(np.int8)), pa.array(part[:, 1].copy()), pa.array(first), pa.array(n)], names=["hot", "a", "b", "n"])
+
+    for bucket, rows in _unpacked(batches):
+        if bucket != at:
+            yield from whole()
+            held, hot, at, size, most = [], {}, bucket, 0, MEET
+        if hot:
+            known = np.isin(rows[:, 0], np.array(list(hot), np.int64))
+            yield from links(rows[known])
+            rows = rows[~known]
+        # a copy: the batch's memory is given back
+        held.append(rows.copy())
+        size += len(rows)
+        if size > most:
+            rows = in_order()
+            new = np.ones(len(rows), bool)
+            new[1:] = (rows[1:] != rows[:-1]).any(axis=1)
+            rows = rows[new]
+            keys, first, n = np.unique(rows[:, 0], return_index=True, return_counts=True)
+            many = n > GROUP
+            hot.update(zip(keys[many].tolist(), rows[first[many], 1].tolist(), strict=True))
+            settled = np.repeat(many, n)
+            yield from links(rows[settled])
+            held = [rows[~settled]]
+            size = len(held[0])
+            most = max(MEET, 2 * size)
+    yield from whole()
 
 
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -335,7 +433,9 @@ def join(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", k: int
     kinds = rows.where("cls is not null and doc_id is not null").groupBy("cls").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("slack").alias("slack"))
     kinds = written(kinds, spark, "jaccard-classes")
 
-    met = _keys(texts, k, num, den).repartition("key").sortWithinPartitions("key", "cls").mapInArrow(tidy(_meet), "hot byte, a long, b long, n long")
+    shingles = kinds.agg(F.sum("n")).first()[0] or 0
+    bits = _bits(shingles, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    met = _keys(texts, k, num, den, bits).repartition("bucket").sortWithinPartitions("bucket").mapInArrow(tidy(_meet_packs), "hot byte, a long, b long, n long")
     met = written(met, spark, "jaccard-met")
     warm = met.where("hot = 1").groupBy("a").agg(F.count("*").alias("h")).withColumnRenamed("a", "cls")
     state = kinds.select("cls", "slack").join(warm, "cls", "left").select(F.col("cls").alias("a"), (F.col("slack") - F.coalesce("h", F.lit(0))).alias("room"))

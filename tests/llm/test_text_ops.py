@@ -174,6 +174,41 @@ def test_parts_meet_whenever_sets_are_similar():
                 assert common >= max(slack.max() + 1, 1), (n, cut)
 
 
+@pytest.mark.parametrize("most", [4_000_000, 300])
+def test_packs_meet_like_single_keys(monkeypatch, most):
+    """Keys by bucket give the pairs and hot links that all keys in order give; the small limit settles hot keys early."""
+    monkeypatch.setattr(jaccard, "MEET", most)
+    rng = np.random.RandomState(3)
+    keys = rng.randint(-(2**63), 2**63 - 1, 400, dtype=np.int64)[np.minimum(rng.geometric(0.01, 6000), 400) - 1]
+    keys[:1500] = keys[0]
+    cls = rng.randint(0, 3000, 6000)
+    parts = [b for i in range(0, 6000, 500) for b in jaccard._packed(keys[i : i + 500], cls[i : i + 500], 3)]
+    assert sum(b.num_rows for b in parts) <= 12 * 8
+    rows = sorted(((x["bucket"], x["pack"]) for b in parts for x in b.to_pylist()), key=lambda x: x[0])
+    packs = [jaccard.pa.RecordBatch.from_pylist([{"bucket": b, "pack": p} for b, p in rows[i : i + 7]]) for i in range(0, len(rows), 7)]
+    members = {}
+    for key, c in zip(keys.tolist(), cls.tolist(), strict=True):
+        members.setdefault(key, set()).add(c)
+    pairs = Counter((a, b) for m in members.values() if len(m) <= jaccard.GROUP for a in m for b in m if a < b)
+    found, linked = Counter(), Counter()
+    for batch in jaccard._meet_packs(iter(packs)):
+        for x in batch.to_pylist():
+            if x["hot"]:
+                linked[x["a"]] += 1
+            else:
+                found[x["a"], x["b"]] += x["n"]
+    hot = Counter(c for m in members.values() if len(m) > jaccard.GROUP for c in m)
+    assert found == pairs and set(linked) == set(hot) and all(linked[c] >= n for c, n in hot.items())
+    assert most < 4_000_000 or linked == hot
+
+
+def test_keys_travel_as_packs(spark):
+    """No row per key is shuffled and sorted: at most one row for each bucket that a task packs."""
+    docs = frame(spark, [(i, " ".join(f"d{i}w{j}" for j in range(400))) for i in range(30)]).select("doc_id", "text")
+    got = jaccard._keys(docs, 5, 80, 100, 4).collect()
+    assert len(got) <= 3 * 16 and sum(len(x.pack) // 16 for x in got) > 30 * 80
+
+
 def test_components(spark, monkeypatch):
     monkeypatch.setattr(graph, "FEW_LINKS", 10)
     edges = [(i * 7919 % 1009, (i + 1) * 7919 % 1009) for i in range(300)] + [(5000, 5001), (7, 7)]
