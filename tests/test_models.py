@@ -452,6 +452,58 @@ def test_tsne_by_blocks(spark, monkeypatch):
     assert size > 1e-3 and all(got[i] == pytest.approx(whole[i], abs=1e-4 * size) for i in whole)
 
 
+@pytest.mark.parametrize("components", [1, 2, 3])
+def test_tsne_compares_vectors_once(spark, monkeypatch, components):
+    """No step goes over the vectors again (before, every one did); the first steps are those of one task, equal rows included."""
+    rng = np.random.RandomState(13)
+    x = np.concatenate([rng.normal(c, 0.3, (60, 5)) for c in (0.0, 2.0)] + [np.ones((12, 5))])
+    df = spark.createDataFrame([(i * 3, v.tolist()) for i, v in enumerate(x)], "id long, x array<double>").repartition(3)
+    options = {"n_components": components, "perplexity": 15, "rate": 20.0, "steps": 9}
+    whole = {r.id: r.embedding for r in decomposition.tsne(df, "id", "x", **options).collect()}
+    monkeypatch.setattr(cluster, "SMALL", 50)
+    passes, blocks = [], cluster._Rows.blocks
+    monkeypatch.setattr(cluster._Rows, "blocks", lambda self, f, *a: (passes.append(f.__name__), blocks(self, f, *a))[1])
+    got = {r.id: r.embedding for r in decomposition.tsne(df, "id", "x", **options).collect()}
+    assert [f for f in passes if f != "_pair_sums"] == [] and len(passes) == (9 if components == 3 else 0)
+    size = max(abs(v) for y in whole.values() for v in y)
+    assert sorted(got) == sorted(whole) and all(got[i] == pytest.approx(whole[i], abs=1e-4 * size) for i in whole)
+
+
+def test_tsne_sums():
+    """Probabilities and their sums against every pair, also with more equal rows than the perplexity; sums over the embedding against every pair."""
+    rng = np.random.RandomState(14)
+    x = np.concatenate((rng.normal(size=(3000, 8)), np.ones((40, 8))))
+    goal, n = np.log(5), len(x)
+    for lo, hi in ((0, 70), (3000, 3040)):
+        i, j, p, rest = decomposition._conditionals(x, goal, lo, hi)
+        exact = np.zeros((hi - lo, n))
+        for a in range(lo, hi):
+            d = ((x - x[a]) ** 2).sum(1)
+            d -= np.delete(d, a).min()
+            b, low, high = 1.0, 0.0, math.inf
+            for _ in range(60):
+                e = np.exp(-d * b)
+                e[a] = 0
+                h = np.log(e.sum()) + b * (d * e).sum() / e.sum()
+                if abs(h - goal) < 1e-7:
+                    break
+                low, high = (b, high) if h > goal else (low, b)
+                b = b * 2 if math.isinf(high) else (low + high) / 2
+            exact[a - lo] = e / e.sum() / (2 * n)
+        kept = np.zeros_like(exact, bool)
+        kept[i - lo, j] = True
+        assert (kept | (exact < decomposition.NEAR / 2 * 1.001)).all() and p == pytest.approx(exact[i - lo, j], rel=1e-3, abs=1e-9 / n)
+        lifted = np.maximum(exact, decomposition.FLOOR / 2)
+        lifted[np.arange(hi - lo), np.arange(lo, hi)] = 0
+        assert rest == pytest.approx(np.where(kept, 0, lifted).sum(1), rel=2e-2, abs=1e-9 / n)
+    for span in (1e-3, 1.0, 12.0):
+        y = rng.normal(size=(700, 2)) * span
+        charges = np.concatenate((np.ones((700, 1)), y, rng.rand(700, 1)), 1)
+        exact = decomposition._pair_sums(y, (y, charges, 3), 0, 700)[0][0]
+        got = decomposition._kernel_sums(y, charges, 3)
+        assert (np.abs(got - exact).max(0) <= 1e-5 * np.abs(charges).sum(0)[[0, 1, 2, 3, 0, 1, 2]]).all()
+
+
 @pytest.mark.parametrize("name, options", [("hierarchical", (4, "ward")), ("mean_shift", (1.2, 50)), ("spectral", (3, 0.3))])
 def test_blocks_give_the_same_clusters(spark, monkeypatch, name, options):
     """Beyond SMALL rows the work goes by blocks; the clusters are those of one task, with equal rows among them."""
